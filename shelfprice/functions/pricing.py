@@ -11,6 +11,9 @@ MODE_HEADERS = {"per100g": "€/kg", "per100ml": "€/l", "perUnit": "€/ud", "
 MODE_UNITS = {"per100g": "kg", "per100ml": "l", "perUnit": "ud", "rawPrice": "pack"}
 
 
+VOTES = ["votes_g", "votes_ml", "votes_unit"]
+
+
 def _double(name: str) -> Column:
     return F.col(name).cast("double")
 
@@ -26,19 +29,20 @@ def pack_unit_price() -> Column:
     return F.try_divide(effective_price(), F.coalesce(_double("package_size"), F.lit(1.0)))
 
 
-def mode_votes() -> list[Column]:
+def mode_votes() -> dict[str, Column]:
     """Three counters (weight, volume, counted items) to be summed per group."""
     unit = F.col("net_weight_unit")
     unlabelled = ~F.coalesce(unit.isin("g", "ml"), F.lit(False))
-    return [
-        F.count(F.when(unit == "g", True)).alias("votes_g"),
-        F.count(F.when(unit == "ml", True)).alias("votes_ml"),
-        F.count(F.when(unlabelled, F.col("package_size"))).alias("votes_unit"),
-    ]
+    return {
+        "votes_g": F.count(F.when(unit == "g", True)),
+        "votes_ml": F.count(F.when(unit == "ml", True)),
+        "votes_unit": F.count(F.when(unlabelled, F.col("package_size"))),
+    }
 
 
-def winning_mode(votes_g: Column, votes_ml: Column, votes_unit: Column) -> Column:
-    """Majority of the votes; ties go to weight, then volume, then counted items."""
+def winning_mode() -> Column:
+    """Majority of the vote columns; ties go to weight, then volume, then counted items."""
+    votes_g, votes_ml, votes_unit = F.col("votes_g"), F.col("votes_ml"), F.col("votes_unit")
     top = F.greatest(votes_g, votes_ml, votes_unit)
     return (
         F.when(top == 0, F.lit("rawPrice"))

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfprice.functions import labels, pricing
 from shelfprice.operators.groups import first_per_group
-
-NEWEST = [("scraped_at", "observation_id")]
-
+from shelfprice.operators.offers import with_mode_of_small_group
 
 def newest_first() -> list[Column]:
     return [F.col("scraped_at").desc(), F.col("observation_id").desc()]
@@ -78,8 +76,7 @@ def price_ranking(observations: DataFrame, stores: DataFrame, products: DataFram
     rows = latest.join(store, "store_id").join(product, "product_id")
 
     whole = Window.partitionBy("product_id")
-    votes_g, votes_ml, votes_unit = (v.over(whole) for v in pricing.mode_votes())
-    priced = rows.withColumn("mode", pricing.winning_mode(votes_g, votes_ml, votes_unit)).withColumns({
+    priced = with_mode_of_small_group(rows, ["product_id"]).withColumns({
         "effective_price": pricing.effective_price(shipping=True),
         "unit_price": pricing.comparable_price(F.col("mode"), shipping=True),
         "_plain_unit_price": pricing.comparable_price(F.col("mode"), shipping=False),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfprice.functions import pricing
@@ -76,16 +76,15 @@ def best_per_store_by_variant(offers: DataFrame) -> DataFrame:
 
 def comparison_mode(df: DataFrame, group: Sequence[str]) -> DataFrame:
     """One row per group with its comparison mode."""
-    votes = df.groupBy(*group).agg(*pricing.mode_votes())
-    mode = pricing.winning_mode(F.col("votes_g"), F.col("votes_ml"), F.col("votes_unit"))
-    return votes.withColumn("mode", mode)
+    votes = df.groupBy(*group).agg(*[v.alias(name) for name, v in pricing.mode_votes().items()])
+    return votes.withColumn("mode", pricing.winning_mode())
 
 
 def with_mode(df: DataFrame, group: Sequence[str]) -> DataFrame:
     """Attach the comparison mode of the group to its rows."""
-    voted = with_group_values(df, group, pricing.mode_votes())
-    mode = pricing.winning_mode(F.col("votes_g"), F.col("votes_ml"), F.col("votes_unit"))
-    return voted.withColumn("mode", mode).drop("votes_g", "votes_ml", "votes_unit")
+    votes = [v.alias(name) for name, v in pricing.mode_votes().items()]
+    voted = with_group_values(df, group, votes)
+    return voted.withColumn("mode", pricing.winning_mode()).drop(*pricing.VOTES)
 
 
 def lowest_unit_price(df: DataFrame, group: Sequence[str], shipping: bool) -> DataFrame:
@@ -98,9 +97,11 @@ def lowest_unit_price(df: DataFrame, group: Sequence[str], shipping: bool) -> Da
     )
 
 
-def _mode_over(window) -> Column:
-    g, ml, unit = (v.over(window) for v in pricing.mode_votes())
-    return pricing.winning_mode(g, ml, unit)
+def with_mode_of_small_group(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The same for groups that are small by construction, within the shuffle their ranking needs."""
+    window = Window.partitionBy(*group)
+    voted = df.withColumns({name: v.over(window) for name, v in pricing.mode_votes().items()})
+    return voted.withColumn("mode", pricing.winning_mode()).drop(*pricing.VOTES)
 
 
 def rank_offers(
@@ -112,7 +113,7 @@ def rank_offers(
     Meant for reduced results (one row per store), so that a group is as small as the store list.
     """
     whole = Window.partitionBy(*group)
-    priced = offers.withColumn("mode", _mode_over(whole)).withColumns({
+    priced = with_mode_of_small_group(offers, group).withColumns({
         "effective_price": pricing.effective_price(shipping=True),
         "unit_price": pricing.comparable_price(F.col("mode"), shipping=True),
     })

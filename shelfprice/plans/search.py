@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from shelfprice.operators import offers as ops
 from shelfprice.operators.validate import validate_offers
@@ -15,6 +16,10 @@ def relevant_offers(queries: DataFrame, offers: DataFrame) -> DataFrame:
 
 
 def search_offers(queries: DataFrame, offers: DataFrame) -> DataFrame:
-    """Best offer of every store per query, cheapest first: validate, match, drop variants, reduce, sort."""
+    """Best offer of every store per query, numbered from the cheapest price.
+
+    Validate, match, drop the unwanted variant, reduce to one row per store, sort.
+    """
     best = ops.best_per_store_by_variant(relevant_offers(queries, offers))
-    return ops.rank_offers(best, sort="price")
+    order = Window.partitionBy("query_id").orderBy(F.col("price").asc(), F.col("seq").asc())
+    return best.withColumn("position", F.row_number().over(order))

@@ -70,6 +70,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " +"), lambda w: w != "")
 
 
+def pieces_of(text: Column, size: int) -> Column:
+    """All runs of `size` characters; a shorter text is its own piece."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
+    return F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
+
+
 def slugify(text: Column) -> Column:
     """URL slug: accents dropped, lower case, separators to single hyphens, 200 characters at most."""
     dashed = F.regexp_replace(F.lower(strip_accents(text)), "[^a-z0-9]+", "-")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfprice.functions.text import loose_text, search_text, strip_accents, words
+from shelfprice.functions.text import loose_text, pieces_of, search_text, strip_accents, words
 from shelfprice.operators.groups import first_per_group
 
 
@@ -67,13 +67,7 @@ def _keyword_hits(keywords: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     size = F.least(F.length("keyword"), F.lit(3))
     wanted = keywords.withColumn("_piece", F.substr("keyword", F.lit(1), size))
     normal = loose_text(F.col(text))
-    pieces = F.array_distinct(F.concat(*[
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(normal) - (n - 1), F.lit(1))),
-            lambda i, n=n: F.substr(normal, i, F.lit(n)),
-        )
-        for n in (2, 3)
-    ]))
+    pieces = F.array_distinct(F.concat(pieces_of(normal, 2), pieces_of(normal, 3)))
     exploded = rows.withColumn("_text", normal).withColumn("_piece", F.explode(pieces))
     return exploded.join(wanted, "_piece").filter(F.contains("_text", "keyword"))
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
-    """Group of the first match, null when there is none (or it is empty)."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """Group of the first match, empty when there is none (an empty text casts to a null number)."""
+    return F.regexp_extract(text, pattern, group)
 
 
 def leading_number(text: Column) -> Column:
@@ -36,9 +43,11 @@ def cents_price(text: Column) -> Column:
 
 def whole_and_fraction_price(whole: Column, fraction: Column) -> Column:
     """Separate whole and fraction texts; separators in the whole part dropped, fraction "00" if absent."""
-    digits = F.nullif(F.trim(F.regexp_replace(whole, "[.,]", "")), F.lit(""))
-    cents = F.coalesce(F.nullif(F.trim(fraction), F.lit("")), F.lit("00"))
-    return leading_integer(F.concat(digits, cents)) / F.lit(100.0)
+    digits = F.trim(F.regexp_replace(whole, "[.,]", ""))
+    cents = F.regexp_replace(F.trim(F.coalesce(fraction, F.lit(""))), "^$", "00")
+    # The mark keeps a fraction without a whole part from being read as a number.
+    joined = first_match(F.concat(digits, F.lit("|"), cents), r"^(\d+\|\d+)")
+    return F.replace(joined, F.lit("|")).try_cast("double") / F.lit(100.0)
 
 
 def comma_decimal_price(text: Column) -> Column:
@@ -68,4 +77,5 @@ def round_half_up(value: Column, digits: int = 0) -> Column:
 
 def usable_price(price: Column) -> Column:
     """True for a finite price above zero."""
-    return price.isNotNull() & ~F.isnan(price) & (price > 0) & (price < float("inf"))
+    # Not-a-number sorts above infinity, so the upper bound drops it too.
+    return (price > 0) & (price < float("inf"))

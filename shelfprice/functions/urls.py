@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfprice.functions.money import first_match
-
 
 def absolute_url(href: Column, base: str) -> Column:
     """Prefix a relative link with the shop's address; a missing link gives the address."""
@@ -15,8 +13,8 @@ def absolute_url(href: Column, base: str) -> Column:
 
 
 def item_code(href: Column) -> Column:
-    """Ten-character item code of a marketplace detail link."""
-    return first_match(href, r"(?i)/dp/([A-Z0-9]{10})")
+    """Ten-character item code of a marketplace detail link, null without one."""
+    return F.get(F.regexp_extract_all(href, F.lit(r"(?i)/dp/([A-Z0-9]{10})"), 1), F.lit(0))
 
 
 def item_url(href: Column, base: str) -> Column:
@@ -39,7 +37,8 @@ def query_encode(text: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Host name of an http(s) URL, null when the text is not a URL."""
-    return F.lower(first_match(url, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:@\s]+)"))
+    shape = r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:@\s]+)"
+    return F.lower(F.get(F.regexp_extract_all(url, F.lit(shape), 1), F.lit(0)))
 
 
 def is_url(text: Column) -> Column:

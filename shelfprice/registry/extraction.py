@@ -219,7 +219,8 @@ def _relaxed_sql(step: int) -> str:
       SELECT query_id, {step} AS step, item_id FROM (
         SELECT q.p_partkey AS query_id, i.p_partkey AS item_id,
           row_number() OVER (PARTITION BY q.p_partkey ORDER BY i.p_partkey) AS rn
-        FROM part q JOIN part i ON q.p_name = i.p_name) WHERE rn <= 5"""
+        FROM part q JOIN part i
+          ON list_has_all(string_split(i.p_name || ' ' || lower(i.p_type), ' '), string_split(q.p_name, ' '))) WHERE rn <= 5"""
 
 
 SQL = {
@@ -288,7 +289,8 @@ SQL = {
     "relaxed_match": _relaxed_sql(2),
     "relaxed_match_tail": _relaxed_sql(1),
     "relevant_pairs": """
-      SELECT q.p_partkey AS query_id, n.p_partkey AS name_id FROM part q JOIN part n ON q.p_name = n.p_name
+      SELECT q.p_partkey AS query_id, n.p_partkey AS name_id FROM part q JOIN part n
+        ON contains(n.p_name, split_part(q.p_name, ' ', 1)) AND contains(n.p_name, split_part(q.p_name, ' ', 2))
         AND regexp_matches(lower(n.p_brand) || ' talla ' || n.p_size,
           '(^|[^0-9-])t?' || regexp_extract(q.p_brand, '[0-9]+') || '([^0-9-]|$)')""",
 }

@@ -31,9 +31,6 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
-        # One small file per table: split it finely enough for all cores.
-        .config("spark.sql.files.maxPartitionBytes", "2m")
-        .config("spark.sql.files.openCostInBytes", "0")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfprice.functions.text import WORD, fold, plain_spaces, search_text
+from shelfprice.functions.money import let
+from shelfprice.functions.text import WORD, fold, plain_spaces, search_text, search_text_of_folded
 
 # Words that carry no meaning in a query.
 STOP_WORDS = [
@@ -30,51 +31,66 @@ def _is_number(token: Column) -> Column:
 
 
 def query_terms(query: Column) -> Column:
-    """What a query asks for: struct<words, numbers, sized>.
+    """What a query asks for: struct<words, must, numbers, sized>.
 
-    `sized` says that the query names a garment size, so that its numbers must be sizes in the title.
+    `must` are the words no title may lack; `sized` says that the query names a garment size, so
+    that its numbers must be sizes in the title.
+    """
+    def read(text: Column) -> Column:
+        tokens = F.split(text, " ")
+        words = F.filter(
+            tokens, lambda t: ~_is_number(t) & (F.length(t) >= 2) & ~t.isin(*STOP_WORDS)
+        )
+        return F.struct(
+            words.alias("words"),
+            F.filter(words, lambda w: w.isin(*DISCRIMINATORS)).alias("must"),
+            F.array_distinct(F.filter(tokens, _is_number)).alias("numbers"),
+            F.regexp_like(text, F.lit(rf"(?<!{WORD})talla\s*[0-9]")).alias("sized"),
+        )
+
+    return let(search_text(query), read)
+
+
+def title_numbers(folded: Column, sized: Column) -> Column:
+    """Numbers of a folded title that may answer a query number.
+
+    For a sized query these are garment sizes ("talla 5", "t5"); otherwise whole numbers with neither
+    a digit nor a hyphen next to them, which leaves out the ends of ranges.
     """
-    text = search_text(query)
-    tokens = F.split(text, " ")
-    return F.struct(
-        F.filter(
-            tokens,
-            lambda t: ~_is_number(t) & (F.length(t) >= 2) & ~t.isin(*STOP_WORDS),
-        ).alias("words"),
-        F.filter(tokens, _is_number).alias("numbers"),
-        F.regexp_like(text, F.lit(rf"(?<!{WORD})talla\s*[0-9]")).alias("sized"),
-    )
-
-
-def number_pattern(number: Column, sized: Column) -> Column:
-    """Pattern that finds a query number in a lower-case title."""
     end = f"(?!{WORD})"
-    as_size = F.concat(
-        F.lit(r"talla\s*"), number, F.lit(rf"{end}|(?<!{WORD})t"), number, F.lit(end)
+    sizes = F.concat(
+        F.regexp_extract_all(folded, F.lit(rf"talla\s*([0-9]+){end}"), 1),
+        F.regexp_extract_all(folded, F.lit(rf"(?<!{WORD})t([0-9]+){end}"), 1),
     )
-    alone = F.concat(F.lit("(?:^|[^0-9-])t?"), number, F.lit("(?:[^0-9-]|$)"))
-    return F.when(sized, as_size).otherwise(alone)
+    alone = F.regexp_extract_all(folded, F.lit("(?<![0-9-])([0-9]+)(?![0-9-])"), 1)
+    return F.when(sized, sizes).otherwise(alone)
 
 
-def terms_match(words: Column, numbers: Column, sized: Column, name: Column, folded: Column) -> Column:
+def terms_match(terms: Column, name: Column, folded: Column) -> Column:
     """Rule over prepared parts: query terms, normalised title and folded (punctuation kept) title."""
-    numbers_ok = F.forall(
-        numbers, lambda n: F.regexp_like(folded, number_pattern(n, sized))
-    )
-    variants_ok = F.forall(words, lambda w: ~w.isin(*DISCRIMINATORS) | F.contains(name, w))
+    words, numbers = terms["words"], terms["numbers"]
     hits = F.size(F.filter(words, lambda w: F.contains(name, w)))
     enough = (F.size(words) == 0) | (
         F.try_divide(hits.cast("double"), F.size(words).cast("double")) >= THRESHOLD
     )
-    return numbers_ok & variants_ok & enough
+    variants = F.forall(terms["must"], lambda w: F.contains(name, w))
+    numbers_found = (F.size(numbers) == 0) | (
+        F.size(F.array_except(numbers, title_numbers(folded, terms["sized"]))) == 0
+    )
+    return enough & variants & numbers_found
+
+
+def title_matches(terms: Column, name: Column) -> Column:
+    """Does a raw title answer the terms of a query?"""
+    return let(
+        fold(plain_spaces(name)),
+        lambda folded: let(search_text_of_folded(folded), lambda normal: terms_match(terms, normal, folded)),
+    )
 
 
 def is_relevant(name: Column, query: Column) -> Column:
     """True when the title answers the query (a query without usable words matches everything)."""
-    terms = query_terms(query)
-    return terms_match(
-        terms["words"], terms["numbers"], terms["sized"], search_text(name), fold(plain_spaces(name))
-    )
+    return let(query_terms(query), lambda terms: title_matches(terms, name))
 
 
 def _has_any(text: Column, phrases: list[str]) -> Column:

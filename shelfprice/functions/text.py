@@ -57,7 +57,11 @@ def fold(text: Column) -> Column:
 
 def search_text(text: Column) -> Column:
     """Lower-case ASCII letters and digits, every other run becomes one space, trimmed."""
-    return F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
+    return search_text_of_folded(fold(text))
+
+
+def search_text_of_folded(folded: Column) -> Column:
+    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 
 def loose_text(text: Column) -> Column:

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfprice.functions import pricing
-from shelfprice.functions.relevance import query_terms, terms_match, variant_conflict
-from shelfprice.functions.text import fold, plain_spaces, search_text
+from shelfprice.functions.relevance import query_terms, title_matches, variant_conflict
 from shelfprice.operators.groups import first_per_group, with_group_values
 
 
@@ -21,11 +20,7 @@ def attach_query(offers: DataFrame, queries: DataFrame) -> DataFrame:
 
 def keep_relevant(offers: DataFrame) -> DataFrame:
     """Barcode matches stay; other offers must answer their query (input of attach_query)."""
-    name = F.col("product_name")
-    relevant = terms_match(
-        F.col("_terms.words"), F.col("_terms.numbers"), F.col("_terms.sized"),
-        search_text(name), fold(plain_spaces(name)),
-    )
+    relevant = title_matches(F.col("_terms"), F.col("product_name"))
     return offers.filter(F.col("ean").isNotNull() | relevant)
 
 

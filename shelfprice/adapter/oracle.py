@@ -44,7 +44,7 @@ CTES = {
       SELECT user_id || '-' || product_id AS alert_id, user_id, product_id,
         CAST(500 + (user_id * 31 + product_id) % 3000 AS DECIMAL(10,2)) AS target_price,
         (user_id + product_id) % 5 <> 0 AS is_active, CAST(NULL AS TIMESTAMP) AS triggered_at, created_at
-      FROM tracked WHERE (user_id + product_id) % 3 = 0""",
+      FROM tracked""",
     "runs": """
       SELECT o_orderkey AS run_id, o_custkey AS store_id, o_orderdate AS started_at,
         CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS finished_at,

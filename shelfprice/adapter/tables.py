@@ -87,7 +87,7 @@ def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.col("user_id") + F.col("product_id")
-    return tracked(spark, sf_dir).filter(both % 3 == 0).select(
+    return tracked(spark, sf_dir).select(
         F.concat_ws("-", "user_id", "product_id").alias("alert_id"), "user_id", "product_id",
         (F.lit(500) + (F.col("user_id") * 31 + F.col("product_id")) % 3000)
         .cast("decimal(10,2)").alias("target_price"),

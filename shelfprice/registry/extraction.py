@@ -96,11 +96,9 @@ def listing_detail_join(spark, d):
 
 
 def merged_indexes(spark, d):
-    """Two result lists of the same queries, the second one repeats some URLs."""
-    offers = t.offers(spark, d).select("query_id", "seq", "product_url", "price")
-    return merge(
-        offers.filter("price % 2 < 1"), offers.filter("price % 2 >= 0.5")
-    ).select("query_id", "position", "seq", "product_url")
+    """The available offers first, then all offers; the second list repeats URLs of the first."""
+    offers = t.offers(spark, d).select("query_id", "seq", "product_url", "is_available")
+    return merge(offers.filter("is_available"), offers).select("query_id", "position", "seq", "product_url")
 
 
 def _reference_hits(spark, d):
@@ -249,8 +247,7 @@ SQL = {
       SELECT query_id, position, seq, product_url FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, seq) AS position FROM (
           SELECT query_id, seq, product_url, part FROM (
-            SELECT *, 0 AS part FROM offers WHERE price % 2 < 1 UNION ALL
-            SELECT *, 1 AS part FROM offers WHERE price % 2 >= 0.5)
+            SELECT *, 0 AS part FROM offers WHERE is_available UNION ALL SELECT *, 1 AS part FROM offers)
           QUALIFY row_number() OVER (PARTITION BY query_id, product_url ORDER BY part, seq) = 1))
       WHERE position <= 5""", "offers"),
     "resolved_eans": with_ctes("""

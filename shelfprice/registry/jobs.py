@@ -33,9 +33,9 @@ def discovery_report(spark, d):
 
 
 def refresh(spark, d):
-    """Every third product refreshed by identifier or slug."""
+    """The products of two categories refreshed by identifier or slug."""
     products = t.products(spark, d)
-    keys = products.filter("product_id % 3 = 0").select(
+    keys = products.filter("category IN ('PROMO', 'SMALL')").select(
         F.when(F.col("product_id") % 2 == 0, F.col("product_id").cast("string")).otherwise(F.col("slug")).alias("key")
     )
     job = jobs.refresh(keys, products, t.offers(spark, d), t.stores(spark, d), t.observations(spark, d), MOMENT)
@@ -67,7 +67,7 @@ def _rescrape(spark, d):
     details = observations.filter("url is not null").groupBy("url").agg(
         (F.min("price") - F.lit(0.5).cast("decimal(10,2)")).alias("price")
     ).filter("price > 1000").select("url", "price", F.lit("EUR").alias("currency"), F.lit(True).alias("is_available"))
-    registered = stores.filter("store_id % 2 = 0").select("slug")
+    registered = stores.filter("type <> 'PHYSICAL'").select("slug")
     return jobs.rescrape(
         observations, t.products(spark, d), stores, registered, details, MOMENT, "2003-01-01 06:10:00"
     )
@@ -133,9 +133,9 @@ def cleanup_cascade(spark, d):
 
 
 def _alert_changes(spark, d):
-    """Every fourth alert gets a new target, every sixth is switched off; some by another user."""
+    """A change for every alert: a new target, switched off, both or nothing; some by another user."""
     key = F.col("product_id")
-    return t.alerts(spark, d).filter((key % 4 == 0) | (key % 6 == 0)).select(
+    return t.alerts(spark, d).select(
         "alert_id", F.when(key % 5 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),
         F.when(key % 4 == 0, F.lit(9.99)).cast("decimal(10,2)").alias("target_price"),
         F.when(key % 6 == 0, F.lit(False)).alias("is_active"),
@@ -158,7 +158,7 @@ def partial_update_rejects(spark, d):
 
 def untrack(spark, d):
     tracked = t.tracked(spark, d)
-    keys = tracked.filter("(user_id + product_id) % 4 = 0").select("user_id", "product_id")
+    keys = tracked.filter("created_at < '1999-01-01'").select("user_id", "product_id")
     return dml.delete_by_key(tracked, keys, ["user_id", "product_id"])
 
 
@@ -227,7 +227,7 @@ _SEEDED = f"""SELECT f.*, EXISTS (SELECT 1 FROM observations o WHERE o.product_i
     AND o.store_id = f.store_id AND o.scraped_at >= TIMESTAMP '1998-01-01') AS seen FROM ({_FOUND}) f"""
 _TARGETS = """SELECT o.product_id, o.store_id, o.url FROM observations o
     JOIN stores s USING (store_id) JOIN products p USING (product_id)
-  WHERE s.is_active AND store_id % 2 = 0 AND url IS NOT NULL AND p.is_active
+  WHERE s.is_active AND s.type <> 'PHYSICAL' AND url IS NOT NULL AND p.is_active
   QUALIFY row_number() OVER (PARTITION BY product_id, store_id ORDER BY scraped_at DESC, observation_id DESC) = 1"""
 _FRESH = f"""SELECT product_id, store_id, url, d.price FROM ({_TARGETS}) JOIN (
   SELECT url, min(price) - CAST(0.5 AS DECIMAL(10,2)) AS price FROM observations WHERE url IS NOT NULL GROUP BY url) d
@@ -239,7 +239,7 @@ _REQUESTS = """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '
 _CHANGES = """SELECT alert_id, CASE WHEN product_id % 5 = 0 THEN user_id + 1 ELSE user_id END AS user_id,
     CASE WHEN product_id % 4 = 0 THEN CAST(9.99 AS DECIMAL(10,2)) END AS target_price,
     CASE WHEN product_id % 6 = 0 THEN false END AS is_active
-  FROM alerts WHERE product_id % 4 = 0 OR product_id % 6 = 0"""
+  FROM alerts"""
 
 SQL = {
     "discover": with_ctes(f"""
@@ -252,7 +252,7 @@ SQL = {
       SELECT product_id, slug AS product_slug, coalesce(n, 0) AS discovered, coalesce(stores, '') AS stores FROM products
       LEFT JOIN (SELECT query_id AS product_id, count(*) AS n, string_agg(store_name, ',' ORDER BY price, seq) AS stores
         FROM ({_FOUND}) GROUP BY 1) USING (product_id) WHERE is_active""", *_JOB),
-    "refresh": _after("is_active AND product_id % 3 = 0"),
+    "refresh": _after("is_active AND category IN ('PROMO', 'SMALL')"),
     "seed_daily": with_ctes(f"""
       SELECT query_id AS product_id, store_id, CAST(price AS DECIMAL(10,2)) AS price, product_url AS url, package_size,
         CAST(NULL AS DECIMAL(10,2)) AS net_weight, TIMESTAMP '{_SEED_MOMENT}' AS scraped_at
@@ -266,7 +266,7 @@ SQL = {
       SELECT store_id, TIMESTAMP '{MOMENT}' AS started_at, TIMESTAMP '2003-01-01 06:10:00' AS finished_at,
         'SUCCESS' AS status, CAST(coalesce(n, 0) AS INTEGER) AS products_scraped, CAST(NULL AS VARCHAR) AS error_message
       FROM stores LEFT JOIN (SELECT store_id, count(*) AS n FROM ({_FRESH}) GROUP BY 1) USING (store_id)
-      WHERE is_active AND store_id % 2 = 0""", "observations", "stores", "products"),
+      WHERE is_active AND type <> 'PHYSICAL'""", "observations", "stores", "products"),
     "track_from_search": with_ctes(f"""
       SELECT 'track-' || request_id || '-0' AS observation_id, l_suppkey AS store_id,
         CAST(l_extendedprice AS DECIMAL(10,2)) AS price, size AS package_size, true AS is_available FROM ({_REQUESTS})
@@ -297,7 +297,7 @@ SQL = {
     "partial_update_rejects": with_ctes(
         f"SELECT alert_id, user_id FROM ({_CHANGES}) c WHERE (alert_id, user_id) NOT IN (SELECT alert_id, user_id FROM alerts)",
         "alerts"),
-    "untrack": with_ctes("SELECT * FROM tracked WHERE (user_id + product_id) % 4 <> 0", "tracked"),
+    "untrack": with_ctes("SELECT * FROM tracked WHERE created_at >= TIMESTAMP '1999-01-01'", "tracked"),
     "insert_products": with_ctes("""
       SELECT product_id + 10000000 AS product_id, CASE WHEN (product_id + 10000000) % 3 = 0 THEN slug || '-new' ELSE slug END
         AS slug, CASE WHEN (product_id + 10000000) % 3 = 0 THEN 'inserted' ELSE 'conflict' END AS outcome

@@ -89,7 +89,7 @@ def stream_captures(spark, d):
     shops = ["bm", "nappy", "gadis", "ahorramas"]
     source = work_dir(spark, "arrivals")
     rows = cap.json_captures(spark, d, ["bm", "nappy", "gadis"]).unionByName(
-        cap.html_captures(spark, d, ["ahorramas"]).filter("capture_id % 2 = 0")
+        cap.html_captures(spark, d, ["ahorramas"])
     )
     spoilt = rows.withColumn("body", F.when(F.col("capture_id") % 5 == 0, F.lit("<busy>")).otherwise(F.col("body")))
     spoilt.select(*[f.name for f in CAPTURES]).write.parquet(source)
@@ -155,7 +155,7 @@ SQL = {
       QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY seq) = 1""", "alerts"),
     "stream_captures": """
       WITH c AS (SELECT p_partkey, (['bm', 'nappy', 'gadis'])[CAST(p_partkey % 3 AS INTEGER) + 1] AS store_slug FROM part
-        UNION ALL SELECT p_partkey, 'ahorramas' FROM part WHERE p_partkey % 2 = 0)
+        UNION ALL SELECT p_partkey, 'ahorramas' FROM part)
       SELECT store_slug, count(*) * 2 AS n, 'offer' AS outcome FROM c WHERE p_partkey % 5 <> 0 GROUP BY 1
       UNION ALL SELECT store_slug, count(*), 'reject' FROM c WHERE p_partkey % 5 = 0 AND store_slug <> 'ahorramas' GROUP BY 1""",
 }

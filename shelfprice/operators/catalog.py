@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfprice.functions.labels import store_type_rank
+
 
 def catalog_filter(
     products: DataFrame, category: str | None = None, brand: str | None = None, q: str | None = None
@@ -73,8 +75,11 @@ def by_id_or_slug(products: DataFrame, keys: DataFrame) -> DataFrame:
     return text_id.unionByName(by_slug).dropDuplicates(["key", "product_id"])
 
 
+def with_size_metadata(products: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Products with the size and weight range kept for some slugs."""
+    return products.join(metadata.select("slug", "size", "weight_range"), "slug", "left")
+
+
 def listing_order_stores(stores: DataFrame) -> DataFrame:
     """Stores by type in enum order, then by name."""
-    from shelfprice.functions.labels import store_type_rank
-
     return stores.orderBy(store_type_rank(F.col("type")), "name")

@@ -34,6 +34,8 @@ def observation_rows(matches: DataFrame, moment: str, source: str = "SCRAPE") ->
 
 
 def append_observations(observations: DataFrame, new_rows: DataFrame) -> DataFrame:
+    if "scrape_date" in observations.columns:
+        new_rows = new_rows.withColumn("scrape_date", F.to_date("scraped_at"))
     return observations.unionByName(new_rows.select(*observations.columns))
 
 

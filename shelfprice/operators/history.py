@@ -46,10 +46,16 @@ def history(
         rows = rows.filter(F.col("product_id") == product_id)
     if store_id is not None:
         rows = rows.filter(F.col("store_id") == store_id)
+    # Tables stored by day carry the day as a column; a bound on it skips whole folders.
+    by_day = "scrape_date" in rows.columns
     if start is not None:
-        rows = rows.filter(F.col("scraped_at") >= F.lit(start).cast("timestamp_ntz"))
+        low = F.lit(start).cast("timestamp_ntz")
+        rows = rows.filter(F.col("scraped_at") >= low)
+        rows = rows.filter(F.col("scrape_date") >= low.cast("date")) if by_day else rows
     if end is not None:
-        rows = rows.filter(F.col("scraped_at") <= F.lit(end).cast("timestamp_ntz"))
+        high = F.lit(end).cast("timestamp_ntz")
+        rows = rows.filter(F.col("scraped_at") <= high)
+        rows = rows.filter(F.col("scrape_date") <= high.cast("date")) if by_day else rows
     return last_n_per_product(rows, limit)
 
 

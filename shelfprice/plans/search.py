@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfprice.functions.text import plain_spaces
 from shelfprice.operators import offers as ops
 from shelfprice.operators.validate import validate_offers
 
 
+def askable(queries: DataFrame, least: int = 2) -> DataFrame:
+    """Trimmed queries of a useful length (two characters; three for progressive results)."""
+    trimmed = queries.withColumn("query", F.trim(plain_spaces(F.col("query"))))
+    return trimmed.filter(F.length("query") >= least)
+
+
 def relevant_offers(queries: DataFrame, offers: DataFrame) -> DataFrame:
     """Valid offers that answer the query they were captured for."""
     valid, _ = validate_offers(offers)

@@ -279,6 +279,10 @@ SQL = {
       WHERE list_bool_or(list_transform(list_filter(string_split(q.p_name, ' '), lambda w: len(w) >= 2),
         lambda w: contains(p.p_name, w)))
       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p.p_partkey) <= 10""",
+    "page_tiles": """
+      SELECT page_id, replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&') AS title,
+        regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
+        nullif(regexp_extract(html, '<a href="([^"]*)"', 1), '') AS first_link FROM pages""",
     "ean_first": with_ctes("""
       SELECT query_id, seq, store_slug, ean, price FROM offers WHERE ean IS NOT NULL
       UNION ALL SELECT query_id, seq, store_slug, ean, price FROM offers WHERE ean IS NULL

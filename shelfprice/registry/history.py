@@ -68,6 +68,15 @@ def by_id_or_slug(spark, d):
     return catalog.by_id_or_slug(every, keys).select("key", "product_id", "name")
 
 
+def size_metadata(spark, d):
+    """Metadata exists for the products of one category."""
+    every = t.products(spark, d)
+    metadata = every.filter("category = 'PROMO'").select(
+        "slug", F.concat(F.lit("T"), F.col("product_id") % 7).alias("size"), F.lit("11-16 kg").alias("weight_range")
+    )
+    return catalog.with_size_metadata(every, metadata).select("product_id", "slug", "size", "weight_range")
+
+
 def store_status(spark, d):
     rows = ops.store_status(t.stores(spark, d), t.runs(spark, d))
     return rows.select(
@@ -93,7 +102,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         latest_per_product_store, latest_available, latest_with_url, last_n_per_product, price_history,
-        product_summary, price_trend, catalog_page, catalog_counts, page_meta, by_id_or_slug, store_status,
+        product_summary, price_trend, catalog_page, catalog_counts, page_meta, by_id_or_slug, size_metadata, store_status,
         status_summary, run_report, store_listing,
     ]
 }
@@ -153,6 +162,9 @@ SQL = {
     "by_id_or_slug": with_ctes("""
       SELECT CASE WHEN product_id % 2 = 0 THEN CAST(product_id AS VARCHAR) ELSE slug END AS key, product_id, name
       FROM products""", "products"),
+    "size_metadata": with_ctes("""
+      SELECT product_id, slug, CASE WHEN category = 'PROMO' THEN 'T' || product_id % 7 END AS size,
+        CASE WHEN category = 'PROMO' THEN '11-16 kg' END AS weight_range FROM products""", "products"),
     "store_status": with_ctes(f"""
       SELECT store_id, name, type, CASE type WHEN 'PHYSICAL' THEN 'Supermercado / Tienda física'
           WHEN 'ONLINE' THEN 'Tienda online' ELSE 'Híbrido' END AS type_label,

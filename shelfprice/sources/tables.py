@@ -9,7 +9,10 @@ from shelfprice.schemas import TABLES
 
 
 def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The model tables under a folder, with their declared schemas."""
+    """The model tables under a folder, with their declared schemas.
+
+    Observations also have scrape_date, the day folder they are stored in.
+    """
     return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
 
 

@@ -41,32 +41,21 @@ def best_per_store(
 
 
 def best_per_store_by_variant(offers: DataFrame) -> DataFrame:
-    """Variant filter over the whole query plus best per store, in one aggregation.
+    """Variant filter over the whole query plus best per store, with one reduction.
 
-    Per store two candidates are kept: the best conflict-free offer and the best offer at all. Which
-    one counts depends on the whole query, but by then a query has one row per store.
+    Each store keeps its best conflict-free offer, or its best offer where all are in conflict. Whether
+    the latter count depends on the whole query, which by then has one row per store.
     """
-    payload = [c for c in offers.columns if c not in ("query_id", "store_slug", "seq", "_terms")]
     conflict = variant_conflict(F.col("product_name"), F.col("query"))
-    ranked = offers.select(
-        "query_id", "store_slug",
-        F.coalesce(conflict, F.lit(False)).alias("_conflict"),
-        F.struct(pricing.pack_unit_price().alias("_unit"), F.col("seq"), *payload).alias("_offer"),
-    )
-    stores = ranked.groupBy("query_id", "store_slug").agg(
-        F.min(F.when(~F.col("_conflict"), F.col("_offer"))).alias("_clean"),
-        F.min("_offer").alias("_any"),
-    )
-    whole = Window.partitionBy("query_id")
-    kept = stores.withColumn("_has_clean", F.max(F.col("_clean").isNotNull()).over(whole))
-    chosen = kept.select(
-        "query_id", "store_slug",
-        F.when(F.col("_has_clean"), F.col("_clean")).otherwise(F.col("_any")).alias("_offer"),
-    ).filter(F.col("_offer").isNotNull())
-    return chosen.select(
-        "query_id", "store_slug", F.col("_offer.seq").alias("seq"),
-        *[F.col(f"_offer.{c}").alias(c) for c in payload],
+    flagged = offers.withColumns({
+        "_conflict": F.coalesce(conflict, F.lit(False)), "_unit": pricing.pack_unit_price(),
+    })
+    best = first_per_group(
+        flagged, ["query_id", "store_slug"], [F.col("_conflict").asc(), F.col("_unit").asc_nulls_last(), F.col("seq").asc()]
     )
+    has_clean = F.max(~F.col("_conflict")).over(Window.partitionBy("query_id"))
+    judged = best.withColumn("_has_clean", has_clean).filter(~F.col("_conflict") | ~F.col("_has_clean"))
+    return judged.drop("_conflict", "_unit", "_has_clean")
 
 
 def comparison_mode(df: DataFrame, group: Sequence[str]) -> DataFrame:

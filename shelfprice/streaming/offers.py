@@ -21,8 +21,7 @@ def best_offer_updates(stream: DataFrame, queries: DataFrame) -> DataFrame:
     """Streaming best offer per query and store.
 
     Offers are validated and matched one by one; the variant filter is judged within the store, as the
-    stores answer independently. The aggregation keeps two candidates per store: the best offer
-    without a conflict and the best at all.
+    stores answer independently: an offer in conflict only counts while its store has no other.
     """
     valid, _ = validate_offers(stream)
     relevant = ops.keep_relevant(ops.attach_query(valid, queries))
@@ -30,14 +29,11 @@ def best_offer_updates(stream: DataFrame, queries: DataFrame) -> DataFrame:
         "product_name", "price", "subscribe_price", "package_size", "net_weight", "net_weight_unit", "product_url",
     ]
     conflict = F.coalesce(variant_conflict(F.col("product_name"), F.col("query")), F.lit(False))
-    offer = F.struct(pricing.pack_unit_price().alias("_unit"), "seq", *payload)
-    best = relevant.select(
-        "query_id", "store_slug", conflict.alias("_conflict"), offer.alias("_offer")
-    ).groupBy("query_id", "store_slug").agg(
-        F.min(F.when(~F.col("_conflict"), F.col("_offer"))).alias("_clean"), F.min("_offer").alias("_any")
+    offer = F.struct(conflict.alias("_conflict"), pricing.pack_unit_price().alias("_unit"), "seq", *payload)
+    best = relevant.select("query_id", "store_slug", offer.alias("_offer")).groupBy("query_id", "store_slug").agg(
+        F.min("_offer").alias("_offer")
     )
-    chosen = F.coalesce("_clean", "_any")
-    return best.select("query_id", "store_slug", chosen.alias("_offer")).select(
+    return best.select(
         "query_id", "store_slug", *[F.col(f"_offer.{c}").alias(c) for c in ("seq", *payload)]
     )
 

@@ -61,15 +61,16 @@ def flat_categories(tree: DataFrame) -> DataFrame:
 def _keyword_hits(keywords: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     """Pairs of a query and a row where some keyword is a part of the row's text.
 
-    Keywords meet rows through a shared piece of up to three letters instead of a cross join; the
-    final containment test is exact.
+    Keywords meet rows through a shared piece of up to three letters instead of a cross join, each
+    distinct keyword once; the final containment test is exact.
     """
     size = F.least(F.length("keyword"), F.lit(3))
-    wanted = keywords.withColumn("_piece", F.substr("keyword", F.lit(1), size))
+    wanted = keywords.select("keyword").distinct().withColumn("_piece", F.substr("keyword", F.lit(1), size))
     normal = loose_text(F.col(text))
     pieces = F.array_distinct(F.concat(pieces_of(normal, 2), pieces_of(normal, 3)))
-    exploded = rows.withColumn("_text", normal).withColumn("_piece", F.explode(pieces))
-    return exploded.join(wanted, "_piece").filter(F.contains("_text", "keyword"))
+    exploded = rows.withColumn("_text", normal).withColumn("_piece", F.explode_outer(pieces))
+    pairs = exploded.join(wanted, "_piece").filter(F.contains("_text", "keyword")).drop("_piece", "_text")
+    return keywords.join(pairs, "keyword")
 
 
 def match_categories(tree: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame:
@@ -136,16 +137,22 @@ def relaxed_match(
 ) -> DataFrame:
     """Items that hold all words of the longest form of the query with any hit, first n per query."""
     forms = relaxations(queries, ladder).withColumn(
-        "terms", F.array_distinct(words(search_text(F.array_join("terms", " "))))
+        "terms", F.array_sort(F.array_distinct(words(search_text(F.array_join("terms", " ")))))
+    ).filter(F.size("terms") > 0)
+    # Equal forms of different queries are matched once.
+    asked = forms.select("terms").distinct()
+    named = items.withColumn("_words", F.array_distinct(words(search_text(F.col("product_name")))))
+    by_word = named.withColumn("_word", F.explode("_words"))
+    # The rarest word of a form picks the candidates, its other words are tested on those.
+    frequency = by_word.groupBy("_word").agg(F.count("*").alias("_n"))
+    anchors = (
+        asked.withColumn("_word", F.explode("terms")).join(frequency, "_word")
+        .groupBy("terms").agg(F.min(F.struct("_n", "_word")).alias("_rarest"))
+        .select("terms", F.col("_rarest._word").alias("_word"))
     )
-    # One word of a form picks the candidates, its longest; the other words are tested on those.
-    longest = F.element_at(
-        F.array_sort(F.transform("terms", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1
-    )["w"]
-    keyed = forms.filter(F.size("terms") > 0).withColumn("_word", longest)
-    name_words = F.array_distinct(words(search_text(F.col("product_name"))))
-    named = items.withColumn("_words", name_words).withColumn("_word", F.explode("_words"))
-    hits = named.join(keyed, "_word").filter(F.size(F.array_except("terms", "_words")) == 0)
-    best = hits.groupBy("query_id").agg(F.min("step").alias("step"))
-    kept = hits.join(best, ["query_id", "step"])
-    return first_per_group(kept, ["query_id"], [F.col("item_id").asc()], n).drop("_words", "_word", "terms")
+    hits = by_word.join(anchors, "_word").filter(F.size(F.array_except("terms", "_words")) == 0)
+    # No query needs more than n items of a form.
+    first = first_per_group(hits.drop("_words", "_word"), ["terms"], [F.col("item_id").asc()], n)
+    found = forms.join(first, "terms")
+    best = found.groupBy("query_id").agg(F.min("step").alias("step"))
+    return found.join(best, ["query_id", "step"]).drop("terms")

@@ -17,7 +17,10 @@ from shelfprice.plans.search import search_offers
 
 @dataclass
 class JobResult:
-    """Changed tables by name, the new rows, and reports by name."""
+    """Changed tables by name, the new rows, and reports by name.
+
+    All are lazy: store the new rows first and make the reports from what was stored, or cache them.
+    """
 
     tables: dict[str, DataFrame]
     new_rows: DataFrame

@@ -117,7 +117,7 @@ _OFFERS = """SELECT user_id AS query_id, event_id AS seq, event_type AS store_sl
     CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 5 + 1 AS INTEGER) END AS package_size,
     CASE WHEN event_id % 2 = 0 THEN 250.0::DOUBLE END AS net_weight,
     CASE WHEN event_id % 2 = 0 THEN 'g' END AS net_weight_unit, event_id % 7 = 0 AS conflict
-  FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0"""
+  FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND value > 0"""
 _BEST = f"""SELECT *, coalesce(subscribe_price, price) AS effective_price FROM ({_OFFERS})
   QUALIFY row_number() OVER (PARTITION BY query_id, store_slug
     ORDER BY conflict, coalesce(subscribe_price, price) / coalesce(package_size, 1), seq) = 1"""

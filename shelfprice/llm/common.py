@@ -94,3 +94,15 @@ def linked_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
         roots = moved.select("node", "root")
         if moved.filter("changed").isEmpty():
             return roots
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int) -> DataFrame:
+    """(doc_id, text, label, and the other columns of docs) of at most `rows` labelled documents of the training fold.
+
+    A document with several labels has their majority, ties count as 1; null labels count for nothing. The documents
+    are chosen by a hash of their id, so the same data give the same sample. As `rows` bounds the list, it is broadcast.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train).select("doc_id", F.col(label).alias("_y"))
+    known = known.groupBy("doc_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.join(F.broadcast(chosen), "doc_id")

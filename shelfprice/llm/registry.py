@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from shelfprice.llm.op01_toxicity import op1_toxicity
 from shelfprice.llm.op05_bpe import op5_bpe
+from shelfprice.llm.op06_quality import op6_quality
 from shelfprice.llm.op07_search import OP7_SQL, op7_search
 from shelfprice.llm.op08_secrets import op8_secrets
+from shelfprice.llm.op09_language import op9_language
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op7_search, op8_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op5_bpe, op6_quality, op7_search, op8_secrets, op9_language)}
 SQL = {"op7_search": OP7_SQL}

@@ -70,10 +70,10 @@ def map_batches(frame: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatc
     return frame.mapInArrow(run, schema)
 
 
-def linked_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def linked_groups(links: DataFrame) -> DataFrame:
     """Give (node, root): the smallest node that links reach, for every node that has a link.
 
-    nodes is not read beyond its session; links has long columns a and b. Each round every node takes the smallest
+    links has long columns a and b. Each round every node takes the smallest
     root among its own, its neighbours' and its root's root, so chains shorten by halves. Rounds are written to
     the shared folder, and the loop ends when no root changes.
     """

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from shelfprice.llm.op01_toxicity import op1_toxicity
+from shelfprice.llm.op03_jaccard import OP3_SQL, op3_jaccard
 from shelfprice.llm.op05_bpe import op5_bpe
 from shelfprice.llm.op06_quality import op6_quality
 from shelfprice.llm.op07_search import OP7_SQL, op7_search
 from shelfprice.llm.op08_secrets import op8_secrets
 from shelfprice.llm.op09_language import op9_language
+from shelfprice.llm.op10_decontaminate import OP10_SQL, op10_decontaminate
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_bpe, op6_quality, op7_search, op8_secrets, op9_language)}
-SQL = {"op7_search": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_jaccard, op5_bpe, op6_quality, op7_search, op8_secrets, op9_language, op10_decontaminate)}
+SQL = {"op10_decontaminate": OP10_SQL, "op3_jaccard": OP3_SQL, "op7_search": OP7_SQL}

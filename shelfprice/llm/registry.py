@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from shelfprice.llm.op01_toxicity import op1_toxicity
+from shelfprice.llm.op02_tokens import op2_tokens
 from shelfprice.llm.op03_jaccard import OP3_SQL, op3_jaccard
 from shelfprice.llm.op04_repeats import op4_repeats
 from shelfprice.llm.op05_bpe import op5_bpe
@@ -12,5 +13,5 @@ from shelfprice.llm.op08_secrets import op8_secrets
 from shelfprice.llm.op09_language import op9_language
 from shelfprice.llm.op10_decontaminate import OP10_SQL, op10_decontaminate
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_jaccard, op4_repeats, op5_bpe, op6_quality, op7_search, op8_secrets, op9_language, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tokens, op3_jaccard, op4_repeats, op5_bpe, op6_quality, op7_search, op8_secrets, op9_language, op10_decontaminate)}
 SQL = {"op10_decontaminate": OP10_SQL, "op3_jaccard": OP3_SQL, "op7_search": OP7_SQL}

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes and rows of input that a Python task works on at once.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+#: Rows that a side of a join may have to be broadcast; larger sides are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,15 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def small(frame: DataFrame, weight: Column | None = None) -> DataFrame:
+    """With a broadcast hint if the frame holds at most BROADCAST_ROWS rows of a few numbers each, else without.
+
+    weight says for how many such rows one row counts, as one with a list does. The frame should be stored, as it is counted.
+    """
+    held = frame.limit(BROADCAST_ROWS + 1).agg(F.sum(F.lit(1) if weight is None else weight).alias("n")).first()["n"] or 0
+    return F.broadcast(frame) if held <= BROADCAST_ROWS else frame
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about BATCH_BYTES; a longer row stands alone."""
     start, held = 0, 0

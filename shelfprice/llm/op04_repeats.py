@@ -11,14 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfprice.llm.common import map_batches, read_table, slices, stored
+from shelfprice.llm.common import map_batches, read_table, slices, small, stored
 
 #: Bytes of a repeated string; bytes of the grams that anchor it.
 LENGTH, GRAM = 400, 32
 #: Window starts that are worked on at once; bytes of fragments in a shard; fragments of an anchor in a shard.
 PIECE, SHARD_BYTES, SHARD_FRAGMENTS = 1 << 20, 1 << 19, 500
-#: Rows that a side may have to be broadcast; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -187,15 +185,10 @@ def runs_of(flags: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2) - [0, 1]
 
 
-def small(frame: DataFrame) -> DataFrame:
-    """With a broadcast hint if the stored frame has few enough rows, else without."""
-    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
-
-
 def fragment_bytes(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """The rows of wanted (one of each text's copies counts) with their bytes."""
     lists = stored(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "fragment", "n", "parts", "lo", "hi")).alias("items")))
-    texts = keyed(docs, text).join(small(lists), ["k1", "k2"])
+    texts = keyed(docs, text).join(small(lists, F.size("items")), ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
@@ -290,7 +283,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     found = stored(repeats(docs, text))
     kind = docs.schema[key].dataType.simpleString()
-    joined = keyed(docs, text, F.col(key).alias("_key")).join(small(found), ["k1", "k2"], "left").select("_key", "text", "spans")
+    joined = keyed(docs, text, F.col(key).alias("_key")).join(small(found, F.size("spans")), ["k1", "k2"], "left").select("_key", "text", "spans")
     pairs = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -10,11 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfprice.llm.common import read_table, stored
+from shelfprice.llm.common import read_table, small, stored
 
 WORDS, PERCENT = 5, 75
-#: Rows (of two or three numbers) that a side may have to be broadcast; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 #: Words of 64 bits of the filter that document shingles pass before they become rows; a fixed size.
 FILTER_WORDS = 1 << 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,11 +47,6 @@ def strings() -> Column:
     return F.when(n > 0, one).otherwise(F.expr("cast(array() AS array<string>)"))
 
 
-def small(frame: DataFrame) -> DataFrame:
-    """With a broadcast hint if the stored frame has few enough rows, else without."""
-    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
-
-
 def signatures(items: DataFrame, percent: int) -> DataFrame:
     """(item, hash): MinHash signatures of items, the least hashes of each, as many as the item's size partition asks for.
 
@@ -108,7 +101,7 @@ def contained_items(
     wanted = small(candidates.select("text_key").distinct())
     again = with_words(texts.join(wanted, "text_key", "left_semi"), "text", [F.col("key"), F.col("text_key")])
     held = again.select("key", "text_key", strings().alias("shingles"))
-    pairs = held.join(small(candidates), "text_key").join(small(known.select("item", "item_key", "item_shingles")), "item")
+    pairs = held.join(small(candidates), "text_key").join(small(known.select("item", "item_key", "item_shingles"), F.size("item_shingles")), "item")
     counted = pairs.select(
         F.col("key").alias(key), "text_key", F.col("item_key").alias(item_key),
         F.size(F.array_intersect("shingles", "item_shingles")).cast("long").alias("n_shared"), F.size("item_shingles").cast("long").alias("n_item"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfprice.operators.groups import first_per_group
@@ -14,7 +14,8 @@ from shelfprice.schemas import OBSERVATIONS
 def observation_rows(matches: DataFrame, moment: str, source: str = "SCRAPE") -> DataFrame:
     """Observation rows from matches; fields a match does not have become null.
 
-    The identifier is derived from the content, so a re-run of the job gives the same rows.
+    The identifier is derived from the content, so a re-run of the job gives the same rows. Matches whose price does not
+    fit the column are left out (see observation_rejects); other amounts that don't fit become null.
     """
     defaults = {
         "currency": F.lit("EUR"), "source": F.lit(source), "is_available": F.lit(True),
@@ -27,10 +28,19 @@ def observation_rows(matches: DataFrame, moment: str, source: str = "SCRAPE") ->
     def column(field) -> Column:
         default = defaults.get(field.name, F.lit(None))
         if field.name in matches.columns and field.name not in ("source", "scraped_at"):
-            return F.coalesce(F.col(field.name), default).cast(field.dataType).alias(field.name)
+            return F.coalesce(F.col(field.name), default).try_cast(field.dataType).alias(field.name)
         return default.cast(field.dataType).alias(field.name)
 
-    return matches.select(*[column(f) for f in OBSERVATIONS])
+    return matches.filter(_price_fits()).select(*[column(f) for f in OBSERVATIONS])
+
+
+def _price_fits() -> Column:
+    return F.col("price").isNull() | F.col("price").try_cast(OBSERVATIONS["price"].dataType).isNotNull()
+
+
+def observation_rejects(matches: DataFrame) -> DataFrame:
+    """Matches that observation_rows leaves out, with the broken rule."""
+    return matches.filter(~_price_fits()).withColumn("broken_rules", F.array(F.lit("price_range")))
 
 
 def append_observations(observations: DataFrame, new_rows: DataFrame) -> DataFrame:
@@ -66,22 +76,35 @@ def delete_cascade(tables: dict[str, DataFrame], products: DataFrame) -> dict[st
     }
 
 
+def settled(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """The first row of every key, and the rows that come after it.
+
+    Ranks all rows of a key, as the later ones are asked for too; a change feed has few rows for a key.
+    """
+    ranked = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter("_turn = 1").drop("_turn"), ranked.filter("_turn > 1").drop("_turn")
+
+
 def partial_update(
-    table: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], owner: str | None = None
+    table: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], owner: str | None = None,
+    order: Sequence[Column] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Overwrite the named columns where a change gives a value.
 
-    With owner, a change only applies to a row of the same owner. Gives (table, rejected changes).
+    With owner, a change only applies to a row of the same owner. Of several changes of one key the first in the given
+    order counts. Gives (table, rejected changes): those of unknown keys and those that came second.
     """
     keys = [key, owner] if owner else [key]
-    feed = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    first, later = settled(changes, keys, order or [F.col(c).asc_nulls_last() for c in columns])
+    feed = first.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
     updated = table.join(feed, keys, "left").select(
         *[
             F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in columns else F.col(c)
             for c in table.columns
         ]
     )
-    return updated, changes.join(table.select(*keys), keys, "left_anti")
+    unknown = first.join(table.select(*keys), keys, "left_anti").select(*changes.columns)
+    return updated, unknown.unionByName(later)
 
 
 def delete_by_key(table: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -91,16 +114,21 @@ def delete_by_key(table: DataFrame, keys: DataFrame, key: Sequence[str]) -> Data
 def insert_unique(
     table: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[Column]
 ) -> tuple[DataFrame, DataFrame]:
-    """Insert validated rows; a key that exists is a conflict. Gives (table, conflicts)."""
-    merged = upsert_missing(table, rows, key, order)
-    return merged, rows.join(table.select(*key), list(key), "left_semi")
+    """Insert validated rows; a key that exists, or that an earlier new row has, is a conflict. Gives (table, conflicts)."""
+    first, later = settled(rows, key, order)
+    merged = table.unionByName(first.join(table.select(*key), list(key), "left_anti").select(*table.columns))
+    return merged, first.join(table.select(*key), list(key), "left_semi").select(*rows.columns).unionByName(later)
 
 
 def upsert_columns(
-    table: DataFrame, rows: DataFrame, key: str, columns: Sequence[str]
+    table: DataFrame, rows: DataFrame, key: str, columns: Sequence[str], order: Sequence[Column] = ()
 ) -> DataFrame:
-    """Insert new keys whole; for existing keys take only the listed columns (nulls included)."""
-    feed = rows.select(
+    """Insert new keys whole; for existing keys take only the listed columns (nulls included).
+
+    Of several rows of one key the first in the given order counts; settled() names the others.
+    """
+    first = first_per_group(rows, [key], order or [F.col(c).asc_nulls_last() for c in table.columns if c != key])
+    feed = first.select(
         F.col(key), F.lit(True).alias("_hit"),
         *[F.col(c).alias(f"_new_{c}") for c in table.columns if c != key],
     )
@@ -117,6 +145,15 @@ def upsert_columns(
     return joined.select(*[column(c) for c in table.columns])
 
 
+def started_runs(stores: DataFrame, started: str) -> DataFrame:
+    """Run log rows at the start of a job: RUNNING, nothing scraped yet."""
+    return stores.select(
+        "store_id", F.lit(started).cast("timestamp_ntz").alias("started_at"),
+        F.lit(None).cast("timestamp_ntz").alias("finished_at"), F.lit("RUNNING").alias("status"),
+        F.lit(0).alias("products_scraped"), F.lit(None).cast("string").alias("error_message"),
+    )
+
+
 def run_rows(results: DataFrame, started: str, finished: str) -> DataFrame:
     """Run log of a job: SUCCESS, or FAILED where an error text is given."""
     failed = F.col("error_message").isNotNull()

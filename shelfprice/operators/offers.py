@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfprice.functions import pricing
@@ -25,11 +25,16 @@ def keep_relevant(offers: DataFrame) -> DataFrame:
 
 
 def filter_variant_conflicts(offers: DataFrame, group: Sequence[str] = ("query_id",)) -> DataFrame:
-    """Drop offers of the unwanted variant, unless that would leave the group empty."""
+    """Drop offers of the unwanted variant, unless that would leave the group empty.
+
+    The groups without a clean offer, a short list, are all that the offers are joined with.
+    """
     conflict = variant_conflict(F.col("product_name"), F.col("query"))
     flagged = offers.withColumn("_conflict", F.coalesce(conflict, F.lit(False)))
-    judged = with_group_values(flagged, group, [F.max(~F.col("_conflict")).alias("_any_kept")])
-    return judged.filter(~F.col("_conflict") | ~F.col("_any_kept")).drop("_conflict", "_any_kept")
+    all_bad = flagged.groupBy(*group).agg(F.min("_conflict").alias("_all_bad")).filter("_all_bad")
+    judged = flagged.join(all_bad, list(group), "left")
+    kept = judged.filter(~F.col("_conflict") | F.col("_all_bad"))
+    return kept.select(*offers.columns)
 
 
 def best_per_store(
@@ -37,7 +42,18 @@ def best_per_store(
 ) -> DataFrame:
     """Cheapest offer per query and store, by price per pack item or by plain price; earliest wins ties."""
     value = pricing.pack_unit_price() if by == "unit" else F.col("price").cast("double")
-    return first_per_group(offers, keys, [value.asc_nulls_last(), F.col("seq").asc()])
+    return first_per_group(offers, keys, [value.asc_nulls_last(), *arrival(offers)])
+
+
+def arrival(offers: DataFrame) -> list[Column]:
+    """Total order of arrival: place in its shop's list, then the capture it came from.
+
+    A query captured twice for a shop has each place twice, so the older capture, by time and number, comes first. Columns
+    that the offers don't have don't count; the content of a row settles what is still equal.
+    """
+    first = [c for c in ("seq", "fetched_at", "capture_id") if c in offers.columns]
+    content = [c for c in ("price", "product_name", "product_url", "subscribe_price") if c in offers.columns]
+    return [F.col(c).asc_nulls_last() for c in first + content]
 
 
 def best_per_store_by_variant(offers: DataFrame) -> DataFrame:
@@ -51,7 +67,7 @@ def best_per_store_by_variant(offers: DataFrame) -> DataFrame:
         "_conflict": F.coalesce(conflict, F.lit(False)), "_unit": pricing.pack_unit_price(),
     })
     best = first_per_group(
-        flagged, ["query_id", "store_slug"], [F.col("_conflict").asc(), F.col("_unit").asc_nulls_last(), F.col("seq").asc()]
+        flagged, ["query_id", "store_slug"], [F.col("_conflict").asc(), F.col("_unit").asc_nulls_last(), *arrival(offers)]
     )
     has_clean = F.max(~F.col("_conflict")).over(Window.partitionBy("query_id"))
     judged = best.withColumn("_has_clean", has_clean).filter(~F.col("_conflict") | ~F.col("_has_clean"))
@@ -72,13 +88,16 @@ def with_mode(df: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def lowest_unit_price(df: DataFrame, group: Sequence[str], shipping: bool) -> DataFrame:
-    """Lowest comparable price per group; null when no row has the data."""
-    priced = with_mode(df, group).withColumn(
-        "_price", pricing.comparable_price(F.col("mode"), shipping)
-    )
-    return priced.groupBy(*group).agg(
-        F.first("mode").alias("mode"), F.min("_price").alias("lowest_unit_price")
+    """Lowest comparable price per group; null when no row has the data.
+
+    One aggregation: the votes and the lowest price under each mode side by side, then the winner's.
+    """
+    lowest = {m: F.min(pricing.comparable_price(F.lit(m), shipping)) for m in pricing.MODES}
+    votes = df.groupBy(*group).agg(
+        *[v.alias(name) for name, v in pricing.mode_votes().items()], *[v.alias(f"_low_{m}") for m, v in lowest.items()],
     )
+    chosen = F.coalesce(*[F.when(F.col("mode") == m, F.col(f"_low_{m}")) for m in pricing.MODES])
+    return votes.withColumn("mode", pricing.winning_mode()).select(*group, "mode", chosen.alias("lowest_unit_price"))
 
 
 def with_mode_of_small_group(df: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -60,8 +60,8 @@ def discovery_report(products: DataFrame, discovered: DataFrame) -> DataFrame:
     )
 
 
-def coverage_report(valid: DataFrame, queries: DataFrame) -> DataFrame:
-    """Quantity coverage of the valid offers per store."""
+def coverage_report(valid: DataFrame, queries: DataFrame, stores: DataFrame | None = None) -> DataFrame:
+    """Quantity coverage of the valid offers per store; with stores, those without an offer have zeros and no percentages."""
     per_query = valid.groupBy("store_slug", "query_id").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("package_size").isNotNull()).alias("sized"),
@@ -72,8 +72,12 @@ def coverage_report(valid: DataFrame, queries: DataFrame) -> DataFrame:
         F.sum("sized").alias("with_package_size"), F.sum("weighed").alias("with_net_weight"),
     )
 
+    if stores is not None:
+        counts = ["queries_with_results", "valid_results", "with_package_size", "with_net_weight"]
+        report = stores.select(F.col("slug").alias("store_slug")).join(report, "store_slug", "left").fillna(0, counts)
+
     def share(part: str):
-        return F.floor(F.col(part) / F.col("valid_results") * 100 + 0.5).cast("int")
+        return F.floor(F.try_divide(F.col(part), F.col("valid_results")) * 100 + 0.5).cast("int")
 
     return report.withColumns({
         "queries": queries.agg(F.count("*")).scalar(),

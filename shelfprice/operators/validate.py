@@ -73,6 +73,8 @@ def validate_observations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         "is_available": F.coalesce("is_available", F.lit(True)),
     })
     return _split(filled, {
+        "product_id": F.col("product_id").isNotNull(),
+        "store_id": F.col("store_id").isNotNull(),
         "price": _cents(F.col("price")),
         "currency": F.length("currency") == 3,
         "url": _optional(F.col("url"), is_url(F.col("url"))),

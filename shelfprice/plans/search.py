@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfprice.functions.text import plain_spaces
 from shelfprice.operators import offers as ops
+from shelfprice.operators import resolve
 from shelfprice.operators.validate import validate_offers
 
 
@@ -22,11 +23,32 @@ def relevant_offers(queries: DataFrame, offers: DataFrame) -> DataFrame:
     return ops.keep_relevant(ops.attach_query(valid, queries)).drop("_terms")
 
 
-def search_offers(queries: DataFrame, offers: DataFrame) -> DataFrame:
+def search_offers(queries: DataFrame, offers: DataFrame, least: int = 2) -> DataFrame:
     """Best offer of every store per query, numbered from the cheapest price.
 
-    Validate, match, drop the unwanted variant, reduce to one row per store, sort.
+    Take queries of at least `least` characters, validate, match, drop the unwanted variant, reduce to one row per
+    store, sort.
     """
-    best = ops.best_per_store_by_variant(relevant_offers(queries, offers))
-    order = Window.partitionBy("query_id").orderBy(F.col("price").asc(), F.col("seq").asc())
+    return _best(relevant_offers(askable(queries, least), offers))
+
+
+def search_with_codes(queries: DataFrame, reference_hits: DataFrame, offers: DataFrame, least: int = 2) -> DataFrame:
+    """search_offers, with barcodes first: where a store has offers with a code of the query, these are its answer.
+
+    The codes come from the reference catalogue. Offers of any query with such a code count, and need no matching title.
+    """
+    asked = askable(queries, least)
+    coded = resolve.resolve_eans(asked, reference_hits).select("query_id", "eans")
+    valid, _ = validate_offers(offers)
+    by_code = resolve.match_by_ean(coded, valid.drop("query_id"))
+    by_text = ops.keep_relevant(ops.attach_query(valid, asked)).drop("_terms", "query")
+    held = by_code.select("query_id", "store_slug").distinct()
+    rest = by_text.join(held, ["query_id", "store_slug"], "left_anti")
+    found = by_code.unionByName(rest.select(*by_code.columns))
+    return _best(found.join(asked.select("query_id", "query"), "query_id"))
+
+
+def _best(relevant: DataFrame) -> DataFrame:
+    best = ops.best_per_store_by_variant(relevant)
+    order = Window.partitionBy("query_id").orderBy(F.col("price").asc(), *ops.arrival(best))
     return best.withColumn("position", F.row_number().over(order))

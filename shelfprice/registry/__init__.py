@@ -11,10 +11,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _modules():
     from shelfprice.registry import (
-        extraction, history, jobs, ranking, search, streams, text, users, validation,
+        contracts, extraction, history, jobs, ranking, search, streams, text, users, validation,
     )
 
-    return [ranking, history, users, validation, text, search, extraction, jobs, streams]
+    return [ranking, history, users, validation, text, search, extraction, jobs, streams, contracts]
 
 
 def queries() -> dict[str, Query]:

@@ -9,6 +9,8 @@ from shelfprice.schemas import CAPTURES
 from shelfprice.streaming import offers as streams
 from shelfprice.streaming.runs import work_dir
 
+#: Files, and so micro-batches, that the events of a registered stream arrive in.
+FILES = 4
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -31,8 +33,11 @@ def as_offers(events):
 
 
 def event_stream(spark, d):
-    source = spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events*.parquet").parquet(d)
-    return as_offers(source)
+    """The events as files that arrive one after another in order of time, each a micro-batch of its own."""
+    arrivals = work_dir(spark, "events")
+    events = spark.read.schema(_EVENTS).parquet(f"{d}/events.parquet")
+    events.repartitionByRange(FILES, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(arrivals)
+    return as_offers(spark.readStream.schema(_EVENTS).option("maxFilesPerTrigger", 1).parquet(arrivals))
 
 
 def _queries(spark, d):
@@ -58,7 +63,7 @@ def stream_dedup(spark, d):
     """First event of every user and type; the events come in time order, so the delay may be long."""
     stream = event_stream(spark, d).withColumn("item", F.concat_ws("/", "query_id", "store_slug", "package_size"))
     rows = streams.stream_dedup(spark, stream, ["item"], "arrived_at", "60 days")
-    return rows.select("item").distinct()
+    return rows.groupBy("item").agg(F.count("*").alias("n"))
 
 
 def _event_stores(spark, d):
@@ -92,8 +97,8 @@ def stream_captures(spark, d):
         cap.html_captures(spark, d, ["ahorramas"])
     )
     spoilt = rows.withColumn("body", F.when(F.col("capture_id") % 5 == 0, F.lit("<busy>")).otherwise(F.col("body")))
-    spoilt.select(*[f.name for f in CAPTURES]).write.parquet(source)
-    stream = spark.readStream.schema(CAPTURES).parquet(source).filter(F.col("store_slug").isin(shops))
+    spoilt.select(*[f.name for f in CAPTURES]).repartition(FILES, "capture_id").write.parquet(source)
+    stream = spark.readStream.schema(CAPTURES).option("maxFilesPerTrigger", 1).parquet(source).filter(F.col("store_slug").isin(shops))
     offers, rejects = streams.stream_captures(spark, stream)
     return (
         offers.groupBy("store_slug").agg(F.count("*").alias("n")).withColumn("outcome", F.lit("offer"))
@@ -140,7 +145,7 @@ SQL = {
     "stream_rerank": _rank_sql("unit_price NULLS LAST, CASE WHEN unit_price IS NULL THEN effective_price END NULLS LAST"),
     "stream_rerank_total": _rank_sql("effective_price"),
     "stream_dedup": """
-      SELECT DISTINCT concat_ws('/', user_id, event_type, CASE WHEN event_id % 3 = 0 THEN event_id % 5 + 1 END) AS item
+      SELECT DISTINCT concat_ws('/', user_id, event_type, CASE WHEN event_id % 3 = 0 THEN event_id % 5 + 1 END) AS item, 1 AS n
       FROM events""",
     "stream_enriched": """
       SELECT user_id AS query_id, event_id AS seq, event_type AS store_slug, upper(event_type) AS known_name,

@@ -38,6 +38,8 @@ def _observations(spark, d):
         F.when(line == 4, "FILE").when(line == 5, F.lit(None)).otherwise("API").alias("source"),
         F.when(line == 6, "not a url").otherwise("https://shop.example/x").alias("url"),
         F.when(line % 2 == 0, F.lit(False)).alias("is_available"),
+        F.when(F.col("l_partkey") % 9 != 0, F.col("l_partkey")).alias("product_id"),
+        F.when(F.col("l_suppkey") % 10 != 0, F.col("l_suppkey")).alias("store_id"),
     )
 
 
@@ -138,11 +140,12 @@ def _rules(*pairs: tuple[str, str]) -> str:
 
 
 _OBS = """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS observation_id,
-    CASE WHEN l_linenumber = 1 THEN l_extendedprice / l_quantity ELSE l_extendedprice END AS price, l_linenumber AS n
+    CASE WHEN l_linenumber = 1 THEN l_extendedprice / l_quantity ELSE l_extendedprice END AS price, l_linenumber AS n,
+    l_partkey, l_suppkey
   FROM lineitem"""
 _OBS_BAD_PRICE = "abs(price * 100 - round(price * 100)) >= 1e-6"
 _OBS_BROKEN = _rules(
-    ("price", _OBS_BAD_PRICE), ("currency", "n = 2"), ("url", "n = 6"), ("source", "n = 4"))
+    ("product_id", "l_partkey % 9 = 0"), ("store_id", "l_suppkey % 10 = 0"), ("price", _OBS_BAD_PRICE), ("currency", "n = 2"), ("url", "n = 6"), ("source", "n = 4"))
 _PROD_BROKEN = _rules(
     ("name", "product_id % 11 = 0"), ("slug", "product_id % 13 = 0"),
     ("category", "product_id % 23 = 0 AND length(category) * 20 > 100"), ("ean", "product_id % 17 = 0"))
@@ -158,7 +161,7 @@ SQL = {
     "observations_validated": f"""
       SELECT observation_id, price, 'EUR' AS currency, CASE WHEN n = 5 THEN 'MANUAL' ELSE 'API' END AS source,
         n % 2 <> 0 AS is_available
-      FROM ({_OBS}) WHERE n NOT IN (2, 4, 6) AND NOT ({_OBS_BAD_PRICE})""",
+      FROM ({_OBS}) WHERE n NOT IN (2, 4, 6) AND l_partkey % 9 <> 0 AND l_suppkey % 10 <> 0 AND NOT ({_OBS_BAD_PRICE})""",
     "observations_rejected": f"""
       SELECT * FROM (SELECT observation_id, {_OBS_BROKEN} AS broken_rules FROM ({_OBS})) WHERE broken_rules <> ''""",
     "products_validated": with_ctes(f"""

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfprice.schemas import TABLES
 
 
-def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The model tables under a folder, with their declared schemas.
+def read_tables(spark: SparkSession, path: str, names: Sequence[str] = tuple(TABLES)) -> dict[str, DataFrame]:
+    """The model tables, or the named ones, under a folder, with their declared schemas.
 
     Observations also have scrape_date, the day folder they are stored in.
     """
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
+    return {name: spark.read.schema(TABLES[name]).parquet(f"{path}/{name}") for name in names}
+
 
+def append_observations(rows: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
+    """Append observations in daily folders, sorted by product so that scans can skip row groups.
 
-def append_observations(rows: DataFrame, path: str) -> None:
-    """Append observations in daily folders, clustered by product so that scans can skip row groups."""
+    The rebalance joins small days and splits large ones by their measured size; rows_per_file bounds a file.
+    """
     columns = [f.name for f in TABLES["observations"]]
     (
         rows.select(*columns, F.to_date("scraped_at").alias("scrape_date"))
-        # Hashing the product as well spreads a single day over all tasks.
-        .repartition("scrape_date", F.pmod(F.hash("product_id"), F.lit(64)))
+        .hint("rebalance", "scrape_date")
         .sortWithinPartitions("scrape_date", "product_id", "scraped_at")
-        .write.mode("append").partitionBy("scrape_date").parquet(f"{path}/observations")
+        .write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("scrape_date").parquet(f"{path}/observations")
     )

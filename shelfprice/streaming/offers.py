@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from copy import deepcopy
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,20 +12,24 @@ from shelfprice.functions import pricing
 from shelfprice.functions.relevance import variant_conflict
 from shelfprice.operators import offers as ops
 from shelfprice.operators.validate import validate_offers
+from shelfprice.plans.search import askable
 from shelfprice.sources.extract import extract_offers
 from shelfprice.streaming.runs import (
     latest_groups, latest_rows, read_batches, run_available, work_dir, write_batch,
 )
 
 
-def best_offer_updates(stream: DataFrame, queries: DataFrame) -> DataFrame:
-    """Streaming best offer per query and store.
+LATE_ROWS = "batch_id long, late long"
+
+
+def best_offer_updates(stream: DataFrame, queries: DataFrame, least: int = 3) -> DataFrame:
+    """Streaming best offer per query and store, for queries of at least `least` characters.
 
     Offers are validated and matched one by one; the variant filter is judged within the store, as the
     stores answer independently: an offer in conflict only counts while its store has no other.
     """
     valid, _ = validate_offers(stream)
-    relevant = ops.keep_relevant(ops.attach_query(valid, queries))
+    relevant = ops.keep_relevant(ops.attach_query(valid, askable(queries, least)))
     payload = [
         "product_name", "price", "subscribe_price", "package_size", "net_weight", "net_weight_unit", "product_url",
     ]
@@ -82,15 +87,28 @@ def stream_ranking(
 def stream_dedup(
     spark: SparkSession, stream: DataFrame, keys: list[str], time: str, delay: str = "1 hour", path: str | None = None
 ) -> DataFrame:
-    """First arrival of each item; how long a key is remembered is bounded by the watermark."""
+    """First arrival of each item; how long a key is remembered is bounded by the watermark.
+
+    Rows later than the delay are dropped; their number per micro-batch is in the table late_rows(path) reads.
+    """
     path = path or work_dir(spark, "dedup")
     once = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
-    run_available(
+    late = run_available(
         once.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows"), f"{path}/checkpoint"
     )
+    if late:
+        spark.createDataFrame(late, LATE_ROWS).write.mode("append").parquet(f"{path}/late")
     return spark.read.schema(once.schema).parquet(f"{path}/rows")
 
 
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that the de-duplication under a path dropped for being late: batch_id and number, one row per such batch."""
+    try:
+        return spark.read.schema(LATE_ROWS).parquet(f"{path}/late")
+    except AnalysisException:
+        return spark.createDataFrame([], LATE_ROWS)
+
+
 def stream_enriched(spark: SparkSession, stream: DataFrame, stores: DataFrame, path: str | None = None) -> DataFrame:
     """Offers of active stores with their store columns; the store list is read anew each micro-batch."""
     path = path or work_dir(spark, "enriched")

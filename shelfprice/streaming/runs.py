@@ -14,17 +14,25 @@ from shelfprice.operators.groups import first_per_group
 def work_dir(spark: SparkSession, name: str) -> str:
     """Fresh folder for a run below the cluster's shared checkpoint folder.
 
-    Only without that setting, as in tests, a local temporary folder is used.
+    Without that setting a plain local session, which is one process, uses a temporary folder; any other master is an error.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared if shared else tempfile.mkdtemp(prefix="shelfprice-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share, or give a path")
+        base = tempfile.mkdtemp(prefix="shelfprice-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(writer, checkpoint: str) -> None:
-    """Process everything that has arrived, then stop; a later run goes on from the checkpoint."""
+def run_available(writer, checkpoint: str) -> list[tuple[int, int]]:
+    """Process everything that has arrived, then stop; a later run goes on from the checkpoint.
+
+    Gives (batch_id, rows) for the micro-batches whose state operators dropped rows behind the watermark.
+    """
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    late = ((p.batchId, sum(s.numRowsDroppedByWatermark for s in p.stateOperators)) for p in query.recentProgress)
+    return [(batch_id, n) for batch_id, n in late if n]
 
 
 def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:

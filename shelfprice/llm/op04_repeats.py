@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfprice.llm.common import map_batches, read_table, slices, small, stored
+from shelfprice.llm.common import map_batches, read_table, slices, stored
 
 #: Bytes of a repeated string; bytes of the grams that anchor it.
 LENGTH, GRAM = 400, 32
 #: Window starts that are worked on at once; bytes of fragments in a shard; fragments of an anchor in a shard.
 PIECE, SHARD_BYTES, SHARD_FRAGMENTS = 1 << 20, 1 << 19, 500
+#: Window starts of a class: neighbours that are compared across shards by what they have in common first.
+CLASS = 16
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -63,7 +65,7 @@ def anchored(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray,
 
 
 def fragments(docs: DataFrame, text: str) -> DataFrame:
-    """(anchor, fragment, k1, k2, lo, hi): runs of windows of every text with their anchor's hash and their own.
+    """(anchor, fragment, k1, k2, lo, hi, place): runs of windows of every text with their anchor's hash, own hash and place.
 
     fragment is a hash of the bytes lo to hi + LENGTH and of the anchor's distance from lo.
     """
@@ -72,20 +74,20 @@ def fragments(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found: list[list[np.ndarray]] = [[] for _ in range(6)]
+                found: list[list[np.ndarray]] = [[] for _ in range(7)]
                 for x, k1, k2 in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     raw = (x or "").encode("utf-8", "surrogatepass")
                     for begin in range(0, len(raw) - LENGTH + 1, PIECE):
                         piece = raw[begin:begin + PIECE + LENGTH - 1]
                         anchor, place, first, last = anchored(np.frombuffer(piece, np.uint8), powers)
                         own = [xxhash.xxh64_intdigest(piece[a:b + LENGTH], p - a) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)]
-                        made = (anchor.view(np.int64), np.array(own, np.uint64).view(np.int64), np.full(len(own), k1), np.full(len(own), k2), (first + begin).astype(np.int32), (last + begin).astype(np.int32))
+                        made = (anchor.view(np.int64), np.array(own, np.uint64).view(np.int64), np.full(len(own), k1), np.full(len(own), k2), (first + begin).astype(np.int32), (last + begin).astype(np.int32), (place + begin).astype(np.int32))
                         for column, values in zip(found, made, strict=True):
                             column.append(values)
                 if found[0]:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in found], names=["anchor", "fragment", "k1", "k2", "lo", "hi"])
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in found], names=["anchor", "fragment", "k1", "k2", "lo", "hi", "place"])
 
-    return keyed(docs, text).select("text", "k1", "k2").mapInArrow(run, "anchor long, fragment long, k1 long, k2 long, lo int, hi int")
+    return keyed(docs, text).select("text", "k1", "k2").mapInArrow(run, "anchor long, fragment long, k1 long, k2 long, lo int, hi int, place int")
 
 
 def keyed(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
@@ -187,12 +189,12 @@ def runs_of(flags: np.ndarray) -> np.ndarray:
 
 def fragment_bytes(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """The rows of wanted (one of each text's copies counts) with their bytes."""
-    lists = stored(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "fragment", "n", "parts", "lo", "hi")).alias("items")))
-    texts = keyed(docs, text).join(small(lists, F.size("items")), ["k1", "k2"])
+    lists = stored(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "fragment", "parts", "lo", "hi", "place")).alias("items")))
+    texts = keyed(docs, text).join(lists, ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
-        names = ["anchor", "fragment", "n", "parts", "lo", "hi"]
+        names = ["anchor", "fragment", "parts", "lo", "hi", "place"]
         for batch in batches:
             for part in slices(batch):
                 columns: dict[str, list] = {c: [] for c in ("k1", "k2", *names, "data")}
@@ -207,34 +209,65 @@ def fragment_bytes(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                         for c in names:
                             columns[c].append(item[c])
                         columns["data"].append(raw[item["lo"]:item["hi"] + LENGTH])
-                types = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()]
+                types = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.binary()]
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(columns.values(), types, strict=True)], names=list(columns))
 
-    return texts.select("k1", "k2", "text", "items").mapInArrow(run, "k1 long, k2 long, anchor long, fragment long, n long, parts int, lo int, hi int, data binary")
+    return texts.select("k1", "k2", "text", "items").mapInArrow(run, "k1 long, k2 long, anchor long, fragment long, parts int, lo int, hi int, place int, data binary")
 
 
 def refined(frame: DataFrame, shards: int) -> DataFrame:
-    """(k1, k2, lo, hi, w1, w2, n): runs of repeated windows of each shard, with null w1, and, for anchors that are spread
-    over shards, the windows that stand first among their equals, with a 128-bit hash, for the merge across shards."""
+    """(k1, k2, lo, hi, anchor, cell, core, heads): what each shard finds out about its fragments' windows.
+
+    Rows without core are runs of windows that occur more than once in the shard. The others, of anchors that are spread
+    over shards, are for the merge: a class of neighbouring windows, a hash of the bytes that all of these have in common,
+    and place and hash of those windows that stand first among their equals in the shard.
+    """
     cell = F.when(F.col("parts") > 1, F.xxhash64("anchor", F.pmod("fragment", F.col("parts")))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("long"))
 
-    def each(group: pd.DataFrame) -> pd.DataFrame:
+    def each(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         # Copies of a text read by several tasks bring a fragment several times; it counts once.
         group = group.drop_duplicates(["k1", "k2", "lo"])
         repeated, heads = repeated_windows(group["data"].tolist())
         rows = []
         for r, mark, head in zip(group.itertuples(index=False), repeated, heads, strict=True):
-            rows += [(r.k1, r.k2, r.lo + a, r.lo + b, None, None, 0) for a, b in runs_of(mark).tolist()]
+            rows += [(r.k1, r.k2, r.lo + a, r.lo + b, None, None, None, None) for a, b in runs_of(mark).tolist()]
             if r.parts > 1:
+                classes: dict[int, list[int]] = {}
                 for p in np.flatnonzero(head).tolist():
-                    digest = xxhash.xxh3_128_digest(r.data[p:p + LENGTH])
-                    w1, w2 = np.frombuffer(digest, ">i8").tolist()
-                    rows.append((r.k1, r.k2, r.lo + p, r.lo + p, w1, w2, 2 if mark[p] or r.n > 1 else 1))
-        out = pd.DataFrame(rows, columns=["k1", "k2", "lo", "hi", "w1", "w2", "n"])
-        return out.astype({"w1": "Int64", "w2": "Int64"})
+                    classes.setdefault((r.place - r.lo - p) // CLASS, []).append(p)
+                for c, places in classes.items():
+                    begin = r.place - r.lo - c * CLASS
+                    core = signed(xxhash.xxh64_intdigest(r.data[begin:begin + LENGTH - CLASS + 1], c))
+                    firsts = [{"p": r.lo + p, "w": signed(xxhash.xxh64_intdigest(r.data[p:p + LENGTH]))} for p in places]
+                    rows.append((r.k1, r.k2, None, None, r.anchor, int(key[0]), core, firsts))
+        # Integer columns with gaps are built as such: by way of floats 64-bit numbers would lose their last digits.
+        kinds = {"k1": "Int64", "k2": "Int64", "lo": "Int32", "hi": "Int32", "anchor": "Int64", "cell": "Int64", "core": "Int64", "heads": object}
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        return pd.DataFrame({name: pd.Series(list(c), dtype=kind) for (name, kind), c in zip(kinds.items(), columns, strict=True)})
 
     dealt = frame.withColumn("shard", cell)
-    return dealt.groupBy("shard").applyInPandas(each, "k1 long, k2 long, lo int, hi int, w1 long, w2 long, n long")
+    return dealt.groupBy("shard").applyInPandas(
+        each, "k1 long, k2 long, lo int, hi int, anchor long, cell long, core long, heads array<struct<p:int,w:long>>"
+    )
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """(k1, k2, lo, hi) of the windows that occur in more than one shard of their anchor.
+
+    A class whose common bytes are in one shard only has no such window. In the others the windows themselves meet.
+    """
+    classes = found.filter("core is not null").select("k1", "k2", "anchor", "cell", "core", "heads")
+    several = (F.min("cell") != F.max("cell")).alias("several")
+    open_cores = classes.groupBy("anchor", "core").agg(several).filter("several").drop("several")
+    windows = classes.join(open_cores, ["anchor", "core"], "left_semi").select(
+        "k1", "k2", "anchor", "cell", "core", F.explode("heads").alias("head")
+    ).select("k1", "k2", "anchor", "cell", "core", "head.p", "head.w")
+    known = windows.groupBy("anchor", "core", "w").agg(several).filter("several").drop("several")
+    return windows.join(known, ["anchor", "core", "w"], "left_semi").select("k1", "k2", F.col("p").alias("lo"), F.col("p").alias("hi"))
 
 
 def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -246,19 +279,17 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     counts, so copies of a text repeat each other.
     """
     rows = stored(fragments(docs, text))
-    kinds = stored(rows.groupBy("anchor", "fragment").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("at")))
+    kinds = stored(rows.groupBy("anchor", "fragment").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi", "place")).alias("at")))
     many = kinds.groupBy("anchor").agg(F.count("*").alias("different")).filter("different > 1")
     parts = F.ceil(F.col("different") / F.lit(SHARD_FRAGMENTS)).cast("int").alias("parts")
-    meeting = stored(kinds.join(many.select("anchor", parts), "anchor").select("anchor", "fragment", "n", "parts", "at.*"))
+    meeting = stored(kinds.join(many.select("anchor", parts), "anchor").select("anchor", "fragment", "parts", "at.*"))
     size = meeting.agg(F.sum(F.col("hi") - F.col("lo") + LENGTH).alias("bytes")).first()["bytes"] or 0
     found = stored(refined(fragment_bytes(docs, text, meeting), max(1, -(-size // SHARD_BYTES))))
-    windows = found.filter("w1 is not null")
-    across = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).filter("total > 1").drop("total")
     equal = kinds.filter("n > 1").select("anchor", "fragment")
     ranges = (
         rows.join(equal, ["anchor", "fragment"], "left_semi").select("k1", "k2", "lo", "hi")
-        .union(found.filter("w1 is null").select("k1", "k2", "lo", "hi"))
-        .union(windows.join(across, ["w1", "w2"], "left_semi").select("k1", "k2", "lo", "hi"))
+        .union(found.filter("core is null").select("k1", "k2", "lo", "hi"))
+        .union(merged(found))
     )
     return ranges.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
@@ -283,7 +314,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     found = stored(repeats(docs, text))
     kind = docs.schema[key].dataType.simpleString()
-    joined = keyed(docs, text, F.col(key).alias("_key")).join(small(found, F.size("spans")), ["k1", "k2"], "left").select("_key", "text", "spans")
+    joined = keyed(docs, text, F.col(key).alias("_key")).join(found, ["k1", "k2"], "left").select("_key", "text", "spans")
     pairs = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:

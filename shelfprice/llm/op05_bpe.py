@@ -171,7 +171,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     """Encode whole texts: key, n_tokens, ids (little-endian unsigned 32-bit integers) and, on demand, decoded.
 
     Null and empty texts have no ids. Every row gives one row, repeated keys and null keys included; other columns
-    are left out. The vocabulary, of fixed size, is read on the driver from path and sent to the tasks.
+    are left out. Letters newer than Unicode 15.1 may be told apart otherwise than by the tokenizers library. The vocabulary, of fixed size, is read on the driver from path and sent to the tasks.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     encoders: list[Encoder] = []

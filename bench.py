@@ -18,7 +18,8 @@ from shelfprice import registry
 HEADLINE = [
     "price_ranking", "latest_available", "price_history", "search_ranking_unit", "search_offers", "variant_filter",
     "title_quantity", "relevant_pairs", "json_offers", "html_tiles", "tracked_overview", "recent_for_users",
-    "discover", "track_from_search", "normalised_text", "stream_best_offer",
+    "discover", "track_from_search", "normalised_text", "stream_best_offer", "relaxed_match", "category_products",
+    "listing_detail_join", "stream_rerank",
 ]
 
 
@@ -31,6 +32,9 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        # The test tables are single small files; smaller splits let all cores read their row groups.
+        .config("spark.sql.files.maxPartitionBytes", "1m")
+        .config("spark.sql.files.openCostInBytes", "64k")
         # Methods above this size are not compiled by the JVM; Spark then splits them instead.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()

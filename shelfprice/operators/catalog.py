@@ -29,6 +29,18 @@ def paginate(df: DataFrame, order: list[Column], page: int = 1, page_size: int =
     return df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
+def page_after(df: DataFrame, keys: list[str], after: tuple | None = None, page_size: int = 20) -> DataFrame:
+    """The page that follows a row with the given key values, in the order of the keys; None: the first page.
+
+    Unlike a page number it skips nothing, so the millionth page costs as much as the first. No key may be null.
+    """
+    if not 1 <= page_size <= 100:
+        raise ValueError("page_size must be between 1 and 100")
+    if after is not None:
+        df = df.filter(F.struct(*keys) > F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, after, strict=True)]))
+    return df.orderBy(*keys).limit(page_size)
+
+
 def page_meta(df: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
     """One row that describes the page."""
     total = F.col("total")

@@ -18,13 +18,3 @@ def first_per_group(
     """
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_row", F.row_number().over(window)).filter(F.col("_row") <= n).drop("_row")
-
-
-def with_group_values(df: DataFrame, keys: Sequence[str], values: Sequence[Column]) -> DataFrame:
-    """Attach aggregates of the group to each of its rows.
-
-    The aggregation combines before its shuffle, and the join back can be broadcast or split by
-    adaptive execution. A window would pull each whole group into one task instead.
-    """
-    grouped = df.groupBy(*keys).agg(*values)
-    return df.join(grouped, list(keys))

@@ -15,7 +15,7 @@ from shelfprice.operators.validate import validate_offers
 from shelfprice.plans.search import askable
 from shelfprice.sources.extract import extract_offers
 from shelfprice.streaming.runs import (
-    latest_groups, latest_rows, read_batches, run_available, work_dir, write_batch,
+    latest_groups, latest_rows, read_batch, read_batches, run_available, work_dir, write_batch,
 )
 
 
@@ -60,20 +60,21 @@ def stream_ranking(
 ) -> DataFrame:
     """Run the updates and re-rank, after each micro-batch, the queries it touched.
 
-    Mode and order are worked out again over everything known of these queries.
+    Mode and order are worked out again over everything known of these queries. Each batch writes the current rows as a
+    snapshot of its own, so a batch reads one snapshot and itself, however many batches came before it.
     """
     path = path or work_dir(spark, "ranking")
     updates = best_offer_updates(stream, queries)
-    log_schema = updates.schema
+    schema = updates.schema
 
     def rank(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        write_batch(batch, batch_id, f"{path}/log")
-        log = read_batches(session, f"{path}/log", deepcopy(log_schema))
-        # A repeated batch must not see later ones.
-        seen = log.filter(F.col("batch_id") <= batch_id)
-        touched = seen.filter(F.col("batch_id") == batch_id).select("query_id").distinct()
-        current = latest_rows(seen.join(touched, "query_id", "left_semi"), ["query_id", "store_slug"])
+        # A repeated batch starts from the same snapshot and replaces its own.
+        before = read_batch(batch.sparkSession, batch_id - 1, f"{path}/current", schema)
+        kept = before.join(batch.select("query_id", "store_slug"), ["query_id", "store_slug"], "left_anti")
+        write_batch(kept.select(*batch.columns).unionByName(batch), batch_id, f"{path}/current")
+        touched = batch.select("query_id").distinct()
+        known = read_batch(batch.sparkSession, batch_id, f"{path}/current", schema)
+        current = known.join(touched, "query_id", "left_semi")
         ranked = ops.rank_offers(
             current.withColumn("shipping_cost", F.lit(None).cast("double")), sort=sort, ties=("store_slug",)
         )
@@ -130,15 +131,16 @@ def stream_captures(
 
     def extract(batch: DataFrame, batch_id: int) -> None:
         offers, rejects = extract_offers(batch)
-        write_batch(offers, batch_id, f"{path}/offers")
-        write_batch(rejects, batch_id, f"{path}/rejects")
+        # One tagged output, so that each payload is parsed in one job, not in one for offers and one for rejects.
+        tagged = offers.withColumn("outcome", F.lit("offer")).unionByName(
+            rejects.withColumn("outcome", F.lit("reject")), allowMissingColumns=True
+        )
+        write_batch(tagged, batch_id, f"{path}/rows")
 
     run_available(captures.writeStream.foreachBatch(extract), f"{path}/checkpoint")
-    read = spark.read
-    return (
-        read.option("basePath", f"{path}/offers").parquet(f"{path}/offers").drop("batch_id"),
-        read.option("basePath", f"{path}/rejects").parquet(f"{path}/rejects").drop("batch_id"),
-    )
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows").drop("batch_id")
+    offers, rejects = (rows.filter(F.col("outcome") == o).drop("outcome") for o in ("offer", "reject"))
+    return offers, rejects.select("capture_id", "query_id", "store_slug")
 
 
 def stream_alerts(

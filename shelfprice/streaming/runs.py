@@ -40,6 +40,13 @@ def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def read_batch(spark: SparkSession, batch_id: int, path: str, schema) -> DataFrame:
+    """What one micro-batch has written; no rows before the first one."""
+    if batch_id < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch_id={batch_id}")
+
+
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
     """All micro-batches written so far, with their batch_id."""
     fields = schema.add("batch_id", "long") if "batch_id" not in schema.fieldNames() else schema

@@ -157,8 +157,14 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "
         )
 
     made = map_batches(sample.select("doc_id", text, "_y", *metadata), each, "doc_id long, y int, buckets array<int>, numbers array<double>")
-    rows = made.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).collect()
-    return fit([(np.array(r.buckets, np.int64), np.array(r.numbers, float), r.y) for r in rows], len(STATISTICS) + len(metadata))
+    table = made.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).toArrow()
+    buckets, numbers = (lists(table[name].combine_chunks()) for name in ("buckets", "numbers"))
+    return fit(list(zip(buckets, numbers, table["y"].to_pylist(), strict=True)), len(STATISTICS) + len(metadata))
+
+
+def lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def scored(docs: DataFrame, machine: Machine, keep: list[str], text: str = "text", metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bisect
 import re
@@ -30,11 +29,25 @@ LEAST_VALUE = 6
 URL = re.compile(r"(?<![A-Za-z0-9_.~+/=:&-])[A-Za-z0-9_.~+/=:&-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/=:&-]*+)+")
 ESCAPES = re.compile(r"(?<![A-Za-z0-9_+/=:.-])(?:[A-Za-z0-9_+/=:.-]*+(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}))+[A-Za-z0-9_+/=:.-]*+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
-#: Magic numbers of gzip and zlib streams.
-PACKED = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+#: Letters of the two base64 alphabets. Their runs are maximal and apart: one may hold a piece of the other.
+ALPHABETS = ("A-Za-z0-9+/", "A-Za-z0-9_-")
+RUNS = [re.compile(x) for a in ALPHABETS for x in (rf"[{a}]{{16,}}={{0,2}}", rf"(?<![{a}])[{a}]++(?:\r?\n[ \t]*+[{a}]++)+={{0,2}}")]
+LEAST_RUN = 16
+#: Starts of gzip and zlib streams, as bytes and behind escapes, and what may stand for their bytes there.
+PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+PACKED_URL = re.compile(r"%1f%8b|(?:x|%78)(?:%01|%5e|\^|%9c|%da)", re.IGNORECASE)
+PACKED_ESCAPES = re.compile(r"(?:\\x|\\u00)1f(?:\\x|\\u00)8b|(?:x|(?:\\x|\\u00)78)(?:(?:\\x|\\u00)(?:01|5e|9c|da)|\^)", re.IGNORECASE)
+URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|([!-$&-~])")
+ESCAPE_BYTE = re.compile(r"""\\(?:x|u00)([0-9A-Fa-f]{2})|([ -\[\]-~])|\\([abfnrtv0\\'"])""")
+SHORT = dict(zip("abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\"", strict=True))
+#: Readable bytes: printable ASCII and white space, and UTF-8 beyond.
+READABLE = re.compile(rb"(?:[\t\r\n -~]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
 #: Bytes that a packed layer may unfold to, as a multiple of the document's size and at least; guards against bombs.
 UNPACK_FACTOR, UNPACK_LEAST = 64, 1 << 20
+#: Bytes that are unfolded at once; bytes that a stream keeps for matches over its cuts; start of an escaped run it keeps.
+CHUNK, OVERLAP, HELD = 1 << 16, 64, 1 << 20
+#: Streams inside each other; only streams that hold ever new streams go so deep.
+DEPTH = 60
 
 
 class Span(NamedTuple):
@@ -92,24 +105,303 @@ def readable(data: bytes) -> str | None:
     return text if text and odd * 10 <= len(text) else None
 
 
-def unpacked(data: bytes, most: int) -> bytes | None:
-    """The content of a gzip or zlib stream, None if it is broken or unfolds to more than most bytes."""
-    stream = zlib.decompressobj(47)
-    try:
-        out = stream.decompress(data, most)
-    except zlib.error:
-        return None
-    return out if stream.eof else None
+def decoded(letters: bytes) -> bytes:
+    """Bytes of base64 letters of either alphabet; a single letter at the end, which holds no whole byte, is left out."""
+    core = letters[:-1] if len(letters) % 4 == 1 else letters
+    return binascii.a2b_base64(core.translate(STANDARD) + b"=" * (-len(core) % 4))
 
 
-def decoded_base64(letters: str) -> bytes | None:
-    core = letters.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(core) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(core + "=" * (-len(core) % 4), validate=True)
-    except binascii.Error:
-        return None
+STANDARD = bytes.maketrans(b"-_", b"+/")
+
+
+class Unpacker:
+    """A gzip or zlib stream; what it unfolds to goes on in chunks."""
+
+    def __init__(self, target: Stream, first: bytes) -> None:
+        self.stream, self.target, self.first, self.size, self.read = zlib.decompressobj(47), target, first, 0, 0
+
+    def feed(self, data: bytes) -> bool:
+        """Whether the stream goes on behind these bytes."""
+        rest = data
+        while True:
+            try:
+                out = self.stream.decompress(rest, CHUNK)
+            except zlib.error:
+                return False
+            rest = self.stream.unconsumed_tail
+            self.size += len(out)
+            if self.size > self.target.most:
+                return False
+            if out:
+                self.target.feed(out)
+            if self.target.full():
+                return False
+            if self.stream.eof:
+                self.read += len(data) - len(self.stream.unused_data)
+                return False
+            if not rest and len(out) < CHUNK:
+                self.read += len(data)
+                return True
+
+
+class Runs:
+    """The runs of one base64 alphabet in a stream, decoded from each of their first four letters on.
+
+    Runs go on over line ends. Where a stream is cut, blanks join them too: more letters in front shift a run only to
+    another of the four.
+    """
+
+    def __init__(self, outer: Stream, alphabet: str) -> None:
+        self.outer, self.open, self.held, self.long = outer, False, b"", False
+        self.special = alphabet[-2:].encode()
+        a = alphabet.encode()
+        self.token = re.compile(b"(?<![%b])(?:[%b]{16,}+(?:\r?\n[ \t]*+[%b]++)*|[%b]++(?:\r?\n[ \t]*+[%b]++)+)" % (a, a, a, a, a))
+        self.members = bytes(c for c in range(128) if re.match(b"[%b]" % a, bytes([c]))) + b"\r\n\t "
+        self.rest, self.targets = [b""] * 4, []
+
+    def feed(self, data: bytes) -> None:
+        head = 0
+        if self.open:
+            head = len(data) - len(data.lstrip(self.members))
+            self.put(data[:head])
+            if head == len(data):
+                return
+            self.end()
+        tail = len(data.rstrip(self.members))
+        for m in self.token.finditer(data, head, tail):
+            word = m[0]
+            # A run without - and _ is part of one of the other alphabet.
+            if self.special == b"_-" and b"-" not in word and b"_" not in word:
+                continue
+            if not one_case(word):
+                self.put(word)
+                self.end()
+        if tail < len(data):
+            self.put(data[tail:])
+            self.open = True
+
+    def put(self, data: bytes) -> None:
+        letters = data.translate(None, b"\r\n\t ")
+        if not self.long:
+            self.held += letters
+            if len(self.held) < LEAST_RUN:
+                return
+            self.long, letters = True, self.held
+            if not self.targets:
+                self.targets = [self.outer.inner() for _ in range(4)]
+            self.rest = [letters[i:] for i in range(4)]
+        else:
+            self.rest = [r + letters for r in self.rest]
+        for i, target in enumerate(self.targets):
+            whole = len(self.rest[i]) // 4 * 4
+            target.feed(decoded(self.rest[i][:whole]))
+            self.rest[i] = self.rest[i][whole:]
+
+    def end(self) -> None:
+        if self.long:
+            for r, target in zip(self.rest, self.targets, strict=True):
+                target.feed(decoded(r) + b"\0")
+        self.open, self.held, self.long = False, b"", False
+
+    def state(self) -> tuple | None:
+        targets = [t.state() for t in self.targets]
+        return None if None in targets else (self.open, self.held, self.long, *self.rest, *targets)
+
+    def close(self) -> None:
+        if self.open:
+            self.end()
+        for target in self.targets:
+            target.close()
+
+
+def one_case(word: str | bytes) -> bool:
+    """Long natural words and names are letters of one case; base64 of any text mixes them or has digits."""
+    return word.isalpha() and (word[1:].islower() or word.isupper())
+
+
+class Escaped:
+    """Runs with percent, or backslash, escapes in a stream; they go on decoded."""
+
+    def __init__(self, outer: Stream, mark: bytes, run: str, members: str, escape: re.Pattern) -> None:
+        self.outer, self.mark, self.escape, self.held, self.target, self.open, self.begun = outer, mark, escape, b"", None, False, False
+        self.run = re.compile(run.encode())
+        self.members = bytes(c for c in range(128) if re.match(f"[{members}]", chr(c))) + mark
+
+    def feed(self, data: bytes) -> None:
+        head = 0
+        if self.open:
+            head = len(data) - len(data.lstrip(self.members))
+            self.put(data[:head])
+            if head == len(data):
+                return
+            self.end()
+        tail = len(data.rstrip(self.members))
+        if self.mark in data:
+            for m in self.run.finditer(data, head, tail):
+                self.put(m[0])
+                self.end()
+        if tail < len(data):
+            self.put(data[tail:])
+            self.open = True
+
+    def put(self, data: bytes) -> None:
+        self.held += data
+        if not self.begun:
+            if not (self.mark in self.held[-len(data) - 5:] and self.escape.search(self.held)):
+                self.held = self.held[-HELD:]
+                return
+            self.begun = True
+            self.target = self.target or self.outer.inner()
+        # An escape may be cut.
+        cut = self.held.rfind(self.mark, -5)
+        cut = len(self.held) if cut < 0 or self.escape.match(self.held, cut) else cut
+        self.target.feed(self.escape.sub(escaped_byte, self.held[:cut]))
+        self.held = self.held[cut:]
+
+    def end(self) -> None:
+        if self.begun:
+            self.target.feed(self.held + b"\0")
+        self.open, self.begun, self.held = False, False, b""
+
+    def state(self) -> tuple | None:
+        target = self.target.state() if self.target else ()
+        return None if target is None else (self.open, self.begun, self.held, target)
+
+    def close(self) -> None:
+        if self.open:
+            self.end()
+        if self.target:
+            self.target.close()
+
+
+def escaped_byte(m: re.Match) -> bytes:
+    code = int(next(g for g in m.groups() if g), 16)
+    return bytes([code]) if code < 256 else chr(code).encode("utf-8", "replace")
+
+
+PERCENT_BYTES, ESCAPE_BYTES = re.compile(rb"%([0-9A-Fa-f]{2})"), re.compile(ESCAPE.pattern.encode())
+ASSIGN_BYTES, ACCESS_BYTES, HEX_BYTES = re.compile(ASSIGN.pattern.encode(), re.IGNORECASE), re.compile(ACCESS.pattern.encode()), re.compile(HEX.pattern.encode())
+NAMES_BYTES = tuple(n.encode() for n in NAMES)
+
+
+class Stream:
+    """Decoded bytes that all have one place in the document, so only the kinds of their secrets matter.
+
+    They come in pieces and are not kept: secrets are matched with an overlap, and inner layers are fed from here, so the
+    memory needed doesn't grow with what packed layers unfold to. All of it ends when every kind was found.
+    """
+
+    def __init__(self, kinds: set[int], most: int, depth: int = 0, above: tuple[bytes, ...] = ()) -> None:
+        self.kinds, self.most, self.depth, self.above = kinds, most, depth, above
+        self.last, self.packed, self.parts = b"", [], None
+        self.repeated, self.known = b"", None
+
+    def state(self) -> tuple | None:
+        """All that the further course depends on besides the kinds found; None while a packed stream is open."""
+        if self.packed:
+            return None
+        parts = [p.state() for p in self.parts or ()]
+        return None if None in parts else (self.last, *parts)
+
+    def full(self) -> bool:
+        return len(self.kinds) == len(KINDS)
+
+    def inner(self) -> Stream:
+        return Stream(self.kinds, self.most, self.depth + 1, self.above)
+
+    def feed(self, data: bytes) -> None:
+        if not data or self.full() or self.depth > DEPTH:
+            return
+        # The same bytes again, and all as it was before them: nothing new can come of it.
+        if data == self.repeated:
+            state = self.state()
+            if state is not None and state == self.known:
+                return
+            self.known = state
+        else:
+            self.repeated, self.known = data, None
+        self.packed = [u for u in self.packed if u.feed(data)]
+        both = self.last[-2:] + data
+        for m in PACKED.finditer(both):
+            if m.end() > len(self.last[-2:]):
+                self.unpack(both[m.start():])
+        window = self.last + data
+        self.match(window)
+        # Blanks between a name and its value may be many.
+        self.last = re.sub(rb" {2,}", b" ", window)[-OVERLAP:] if b"  " in window[-OVERLAP:] else window[-OVERLAP:]
+        if self.parts is None:
+            self.parts = [
+                *(Runs(self, a) for a in ALPHABETS),
+                Escaped(self, b"%", URL.pattern, "A-Za-z0-9_.~+/=:&-", PERCENT_BYTES),
+                Escaped(self, b"\\", ESCAPES.pattern, "A-Za-z0-9_+/=:.-", ESCAPE_BYTES),
+            ]
+        for part in self.parts:
+            part.feed(data)
+        for pattern, grammar in ((PACKED_URL, URL_BYTE), (PACKED_ESCAPES, ESCAPE_BYTE)):
+            if (b"%" if grammar is URL_BYTE else b"\\") in data:
+                text = data.decode("latin-1")
+                for m in pattern.finditer(text):
+                    packed_kinds(text, m.start(), grammar, self)
+
+    def unpack(self, data: bytes) -> None:
+        first = data[:CHUNK]
+        # A stream that unfolds to itself holds nothing new.
+        if first not in self.above:
+            unpacker = Unpacker(Stream(self.kinds, self.most, self.depth + 1, (*self.above, first)), first)
+            if unpacker.feed(data):
+                self.packed.append(unpacker)
+            else:
+                unpacker.target.close()
+
+    def match(self, data: bytes) -> None:
+        low = data.lower()
+        if 0 not in self.kinds and any(n in low for n in NAMES_BYTES) and any(len(m[2]) >= LEAST_VALUE for m in ASSIGN_BYTES.finditer(data)):
+            self.kinds.add(0)
+        if b"AKIA" in data and ACCESS_BYTES.search(data):
+            self.kinds.add(1)
+        if 2 not in self.kinds and HEX_BYTES.search(data):
+            self.kinds.add(2)
+
+    def close(self) -> None:
+        for u in self.packed:
+            u.target.close()
+        for part in self.parts or ():
+            part.close()
+
+
+def kinds_in(data: bytes, most: int) -> set[int]:
+    """Kinds of the secrets in bytes and in all layers inside them."""
+    kinds: set[int] = set()
+    stream = Stream(kinds, most)
+    for at in range(0, len(data), HELD):
+        stream.feed(data[at:at + HELD])
+    stream.close()
+    return kinds
+
+
+def packed_kinds(text: str, at: int, grammar: re.Pattern, outer: Stream) -> int:
+    """Feed the packed stream whose escaped bytes start here to a stream inside outer; give the place behind it.
+
+    The stream's own end counts, not that of a run of letters: between its escapes any printable byte may stand.
+    """
+    unpacker, size, spaced = Unpacker(outer.inner(), b""), 256, grammar is URL_BYTE
+    end = at
+    while True:
+        data, ends = bytearray(), []
+        while len(data) < size and (m := grammar.match(text, end)):
+            data.append(int(m[1], 16) if m[1] else ord(m[2]) if m[2] else SHORT[m[3]])
+            end = m.end()
+            ends.append(end)
+        if not data:
+            break
+        before = unpacker.read
+        if not unpacker.feed(bytes(data)):
+            if unpacker.stream.eof:
+                end = ends[unpacker.read - before - 1]
+            break
+        size = min(size * 2, CHUNK)
+    unpacker.target.close()
+    return end
 
 
 def escaped_layer(match: re.Match, outer: Layer | Whole) -> Layer | None:
@@ -174,44 +466,124 @@ def url_layer(match: re.Match, outer: Layer | Whole) -> Layer | None:
     return Layer("".join(text), *outer.span(match.start(), match.end()), marks, places)
 
 
-def layers_in(outer: Layer | Whole, most: int) -> list[Layer]:
-    """The layers that a text holds; anything that doesn't decode to readable text is none."""
+def layers_in(outer: Layer | Whole) -> list[Layer]:
+    """The layers of percent and backslash escapes in a text."""
     found, text = [], outer.text
     if "%" in text:
         found += [url_layer(m, outer) for m in URL.finditer(text)]
     if "\\" in text:
         found += [escaped_layer(m, outer) for m in ESCAPES.finditer(text)]
-    for m in BASE64.finditer(text):
-        # Long natural words and names are letters of one case; base64 of any text mixes them or has digits.
-        word = m[0]
-        if word.isalpha() and (word[1:].islower() or word.isupper()):
-            continue
-        data = decoded_base64(word)
-        if data is None:
-            continue
-        if data[:2] in PACKED and (more := unpacked(data, most)) is not None:
-            data = more
-        inner = readable(data)
-        if inner is not None:
-            found.append(Layer(inner, *outer.span(m.start(), m.end()), None, None))
     return found
 
 
+def hidden(outer: Layer | Whole, most: int) -> set[Span]:
+    """Secrets in the base64 runs and packed streams of a text, and in all layers inside those."""
+    text, spans = outer.text, set()
+
+    def add(start: int, end: int, kinds: set[int]) -> None:
+        begin, stop = outer.span(start, end)
+        spans.update(Span(begin, k, stop) for k in kinds)
+
+    for pattern, grammar, mark in ((PACKED_URL, URL_BYTE, "%"), (PACKED_ESCAPES, ESCAPE_BYTE, "\\")):
+        if mark in text:
+            for m in pattern.finditer(text):
+                kinds: set[int] = set()
+                end = packed_kinds(text, m.start(), grammar, Stream(kinds, most))
+                add(m.start(), end, kinds)
+    runs = {(m.start(), m.end()) for r in RUNS for m in r.finditer(text) if m.end() - m.start() >= LEAST_RUN}
+    done: list[tuple[int, int]] = []
+    for start, end in sorted(runs, key=lambda r: (r[0] - r[1], r)):
+        if not any(a <= start and end <= b for a, b in done):
+            for a, b, kinds in run_items(text, start, end, most):
+                add(a, b, kinds)
+                done.append((a, b))
+    return spans
+
+
+def run_items(text: str, start: int, end: int, most: int) -> list[tuple[int, int, set[int]]]:
+    """(start, end, kinds) of encoded runs with secrets in a maximal run of letters.
+
+    Mostly the run is one. If it isn't readable as a whole, its bytes are read from each of its first four letters on, as
+    other letters may stand in front or behind, like the folders of a path: packed streams and readable parts count.
+    """
+    whole = text[start:end].rstrip("=")
+    if one_case(whole):
+        return []
+    lines, places, at = [], [], 0
+    for m in re.finditer(r"[^\s]+", whole):
+        lines.append(m[0])
+        places.append((at, start + m.start()))
+        at += len(m[0])
+    letters = "".join(lines)
+    if len(letters) < LEAST_RUN or one_case(letters):
+        return []
+    data = decoded(letters.encode())
+    if len(letters) % 4 != 1 and readable(data) is not None:
+        kinds = kinds_in(data, most)
+        return [(start, end, kinds)] if kinds else []
+
+    def place(letter: int) -> int:
+        i = bisect.bisect_right(places, (letter, len(text))) - 1
+        return places[i][1] + letter - places[i][0]
+
+    def found(first: int, last: int, kinds: set[int]) -> tuple[int, int, set[int]]:
+        return place(first), end if last >= len(letters) else place(last - 1) + 1, kinds
+
+    starts = sorted({m.end() for m in re.finditer(r"[+/_-]", letters)} | {a for a, _ in places})
+    items = []
+    for phase in range(4):
+        data = decoded(letters[phase:].encode()) if phase else data
+        behind = 0
+        for m in PACKED.finditer(data):
+            if m.start() < behind:
+                continue
+            kinds: set[int] = set()
+            unpacker = Unpacker(Stream(kinds, most), b"")
+            unpacker.feed(data[m.start():])
+            unpacker.target.close()
+            if unpacker.stream.eof:
+                behind = m.start() + unpacker.read
+            if kinds:
+                stop = behind if unpacker.stream.eof else len(data)
+                items.append(found(phase + m.start() // 3 * 4, phase + -(-stop // 3) * 4, kinds))
+        for m in READABLE.finditer(data):
+            kinds = kinds_in(m[0], most)
+            if not kinds:
+                continue
+            first, last = phase + m.start() // 3 * 4, phase + -(-m.end() // 3) * 4
+            # Readable by chance: a letter or two before the start, or behind the end of a line.
+            for s in starts[bisect.bisect_left(starts, first):]:
+                if s > first + 32:
+                    break
+                if (s - phase) % 4 == 0 and (s - phase) // 4 * 3 >= m.start() and kinds_in(data[(s - phase) // 4 * 3:m.end()], most) == kinds:
+                    first = s
+                    break
+            for a, _ in reversed(places):
+                if first < a < min(last, len(letters)) and last - a <= 8 and kinds_in(data[(first - phase) // 4 * 3:-(-(a - phase) * 3 // 4)], most) == kinds:
+                    last = a
+                    break
+            items.append(found(first, last, kinds))
+    return items
+
+
 def scan(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and these together with the spans of secrets in nested layers, mapped to the document.
 
-    A worklist holds layers still to scan. A decoded text that was met at the same place is not taken up again, which
-    ends cycles; as every decoding shortens its text, packed layers aside, the list runs empty.
+    A worklist holds layers of escapes, whose characters keep their places. A decoded text that was met at the same place
+    is not taken up again, which ends cycles; as every decoding shortens its text, the list runs empty. What base64 and
+    packed layers hold has the place of their run, whatever is inside.
     """
     base = base_spans(text)
     every = set(base)
     most = max(UNPACK_LEAST, UNPACK_FACTOR * len(text))
-    work = layers_in(Whole(text), most)
+    every |= hidden(Whole(text), most)
+    work = layers_in(Whole(text))
     seen = {(x.text, x.begin) for x in work}
     while work:
         layer = work.pop()
         every.update(Span(b, s.kind, e) for s in base_spans(layer.text) for b, e in [layer.span(s.start, s.end)])
-        for inner in layers_in(layer, most):
+        every |= hidden(layer, most)
+        for inner in layers_in(layer):
             if (inner.text, inner.begin) not in seen and inner.text != layer.text:
                 seen.add((inner.text, inner.begin))
                 work.append(inner)

@@ -3,6 +3,7 @@ import gzip
 import re
 import time
 import urllib.parse
+import zlib
 
 import pytest
 
@@ -76,3 +77,52 @@ def test_redaction_keeps_rows_and_columns(documents):
     out = redacted(docs)
     assert out.columns == docs.columns
     assert [r.text for r in out.collect()] == [None, 'a [SECRET]" b', "x [SECRET] y"]
+
+
+def packed_url(data):
+    return "".join(f"%{b:02X}" for b in data)
+
+
+NOISE = "".join(chr(33 + i * i * 7 % 90) for i in range(400))
+
+
+@pytest.mark.parametrize("wrap", [
+    lambda x: base64.b64encode(gzip.compress(gzip.compress(x))).decode(),
+    lambda x: base64.b64encode(zlib.compress(gzip.compress(zlib.compress(x)))).decode(),
+    lambda x: packed_url(gzip.compress(x)),
+    lambda x: urllib.parse.quote(zlib.compress(x), safe=""),
+    lambda x: urllib.parse.quote_plus(gzip.compress(b"      " + x)),
+    lambda x: "".join(f"\\x{b:02x}" for b in gzip.compress(x)),
+    lambda x: "".join(f"\\u{b:04x}" for b in zlib.compress(x)),
+    lambda x: repr(gzip.compress(x))[2:-1],
+    lambda x: base64.b64encode(packed_url(gzip.compress(x)).encode()).decode(),
+    lambda x: base64.b64encode(repr(gzip.compress(x)).encode()).decode(),
+    lambda x: base64.urlsafe_b64encode(b"wh?>~~ " + x + b" ok?>~").decode(),
+    lambda x: base64.urlsafe_b64encode(gzip.compress(x)).decode(),
+    lambda x: base64.encodebytes(x + NOISE.encode()).decode().strip(),
+    lambda x: base64.encodebytes(gzip.compress(NOISE.encode() + x)).decode().strip().replace("\n", "\r\n  "),
+    lambda x: packed_url(base64.b64encode(gzip.compress(x))),
+    lambda x: base64.b64encode(base64.encodebytes(gzip.compress(x))).decode(),
+])
+def test_packed_and_split_layers_are_opened(wrap):
+    inner = wrap(SECRET.encode())
+    text = f"é {inner} ende"
+    base, every = scan(text)
+    new = [s for s in every if s not in base]
+    assert any(s.kind == 0 for s in new) and all(2 <= s.start < s.end <= 2 + len(inner) for s in new)
+
+
+@pytest.mark.parametrize("front", ["a/", "ab/", "abc/", "path/to/", "https/example/v1/"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_run_behind_other_letters(front, pack):
+    inner = base64.b64encode(pack(SECRET.encode())).decode()
+    text = f"x {front}{inner}\nNext line"
+    at = 2 + len(front)
+    assert [(s.start, s.end) for s in scan(text)[1]] == [(at, at + len(inner))]
+
+
+def test_every_alignment_of_wrapped_lines():
+    for width in range(20, 80, 7):
+        inner = base64.b64encode((NOISE + SECRET).encode()).decode()
+        text = "\n".join(inner[i:i + width] for i in range(0, len(inner), width))
+        assert (0, 0, len(text)) in [tuple(s)[:1] + tuple(s)[1:] for s in scan(text)[1]]

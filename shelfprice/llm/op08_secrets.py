@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import binascii
 import bisect
+import hashlib
 import re
+import sys
 import zlib
 from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
@@ -42,12 +44,10 @@ ESCAPE_BYTE = re.compile(r"""\\(?:x|u00)([0-9A-Fa-f]{2})|([ -\[\]-~])|\\([abfnrt
 SHORT = dict(zip("abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\"", strict=True))
 #: Readable bytes: printable ASCII and white space, and UTF-8 beyond.
 READABLE = re.compile(rb"(?:[\t\r\n -~]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
-#: Bytes that a packed layer may unfold to, as a multiple of the document's size and at least; guards against bombs.
-UNPACK_FACTOR, UNPACK_LEAST = 64, 1 << 20
 #: Bytes that are unfolded at once; bytes that a stream keeps for matches over its cuts; start of an escaped run it keeps.
 CHUNK, OVERLAP, HELD = 1 << 16, 64, 1 << 20
-#: Streams inside each other; only streams that hold ever new streams go so deep.
-DEPTH = 60
+#: Streams inside each other that are opened. Some packed bytes unfold to ever new packed bytes, without end.
+DEPTH = 1000
 
 
 class Span(NamedTuple):
@@ -117,8 +117,8 @@ STANDARD = bytes.maketrans(b"-_", b"+/")
 class Unpacker:
     """A gzip or zlib stream; what it unfolds to goes on in chunks."""
 
-    def __init__(self, target: Stream, first: bytes) -> None:
-        self.stream, self.target, self.first, self.size, self.read = zlib.decompressobj(47), target, first, 0, 0
+    def __init__(self, target: Stream) -> None:
+        self.stream, self.target, self.read = zlib.decompressobj(47), target, 0
 
     def feed(self, data: bytes) -> bool:
         """Whether the stream goes on behind these bytes."""
@@ -129,9 +129,6 @@ class Unpacker:
             except zlib.error:
                 return False
             rest = self.stream.unconsumed_tail
-            self.size += len(out)
-            if self.size > self.target.most:
-                return False
             if out:
                 self.target.feed(out)
             if self.target.full():
@@ -284,6 +281,10 @@ ASSIGN_BYTES, ACCESS_BYTES, HEX_BYTES = re.compile(ASSIGN.pattern.encode(), re.I
 NAMES_BYTES = tuple(n.encode() for n in NAMES)
 
 
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 class Stream:
     """Decoded bytes that all have one place in the document, so only the kinds of their secrets matter.
 
@@ -291,8 +292,8 @@ class Stream:
     memory needed doesn't grow with what packed layers unfold to. All of it ends when every kind was found.
     """
 
-    def __init__(self, kinds: set[int], most: int, depth: int = 0, above: tuple[bytes, ...] = ()) -> None:
-        self.kinds, self.most, self.depth, self.above = kinds, most, depth, above
+    def __init__(self, kinds: set[int], depth: int = 0, above: frozenset[bytes] = frozenset(), opened: dict[bytes, set[tuple[int, bytes]]] | None = None) -> None:
+        self.kinds, self.depth, self.above, self.opened = kinds, depth, above, {} if opened is None else opened
         self.last, self.packed, self.parts = b"", [], None
         self.repeated, self.known = b"", None
 
@@ -307,7 +308,7 @@ class Stream:
         return len(self.kinds) == len(KINDS)
 
     def inner(self) -> Stream:
-        return Stream(self.kinds, self.most, self.depth + 1, self.above)
+        return Stream(self.kinds, self.depth + 1, self.above, self.opened)
 
     def feed(self, data: bytes) -> None:
         if not data or self.full() or self.depth > DEPTH:
@@ -344,14 +345,21 @@ class Stream:
                     packed_kinds(text, m.start(), grammar, self)
 
     def unpack(self, data: bytes) -> None:
-        first = data[:CHUNK]
+        # Packed bytes that don't shrink stand in their outer stream as well; each is opened once.
+        known = self.opened.setdefault(data[:16], set())
+        if any((n, digest(data[:n])) in known for n in {n for n, _ in known}):
+            return
+        first = digest(data[:CHUNK])
         # A stream that unfolds to itself holds nothing new.
-        if first not in self.above:
-            unpacker = Unpacker(Stream(self.kinds, self.most, self.depth + 1, (*self.above, first)), first)
-            if unpacker.feed(data):
-                self.packed.append(unpacker)
-            else:
-                unpacker.target.close()
+        if first in self.above:
+            return
+        unpacker = Unpacker(Stream(self.kinds, self.depth + 1, self.above | {first}, self.opened))
+        if unpacker.feed(data):
+            self.packed.append(unpacker)
+            return
+        unpacker.target.close()
+        if unpacker.stream.eof:
+            known.add((unpacker.read, digest(data[:unpacker.read])))
 
     def match(self, data: bytes) -> None:
         low = data.lower()
@@ -369,10 +377,10 @@ class Stream:
             part.close()
 
 
-def kinds_in(data: bytes, most: int) -> set[int]:
+def kinds_in(data: bytes) -> set[int]:
     """Kinds of the secrets in bytes and in all layers inside them."""
     kinds: set[int] = set()
-    stream = Stream(kinds, most)
+    stream = Stream(kinds)
     for at in range(0, len(data), HELD):
         stream.feed(data[at:at + HELD])
     stream.close()
@@ -384,7 +392,7 @@ def packed_kinds(text: str, at: int, grammar: re.Pattern, outer: Stream) -> int:
 
     The stream's own end counts, not that of a run of letters: between its escapes any printable byte may stand.
     """
-    unpacker, size, spaced = Unpacker(outer.inner(), b""), 256, grammar is URL_BYTE
+    unpacker, size, spaced = Unpacker(outer.inner()), 256, grammar is URL_BYTE
     end = at
     while True:
         data, ends = bytearray(), []
@@ -476,7 +484,7 @@ def layers_in(outer: Layer | Whole) -> list[Layer]:
     return found
 
 
-def hidden(outer: Layer | Whole, most: int) -> set[Span]:
+def hidden(outer: Layer | Whole) -> set[Span]:
     """Secrets in the base64 runs and packed streams of a text, and in all layers inside those."""
     text, spans = outer.text, set()
 
@@ -488,19 +496,19 @@ def hidden(outer: Layer | Whole, most: int) -> set[Span]:
         if mark in text:
             for m in pattern.finditer(text):
                 kinds: set[int] = set()
-                end = packed_kinds(text, m.start(), grammar, Stream(kinds, most))
+                end = packed_kinds(text, m.start(), grammar, Stream(kinds))
                 add(m.start(), end, kinds)
     runs = {(m.start(), m.end()) for r in RUNS for m in r.finditer(text) if m.end() - m.start() >= LEAST_RUN}
     done: list[tuple[int, int]] = []
     for start, end in sorted(runs, key=lambda r: (r[0] - r[1], r)):
         if not any(a <= start and end <= b for a, b in done):
-            for a, b, kinds in run_items(text, start, end, most):
+            for a, b, kinds in run_items(text, start, end):
                 add(a, b, kinds)
                 done.append((a, b))
     return spans
 
 
-def run_items(text: str, start: int, end: int, most: int) -> list[tuple[int, int, set[int]]]:
+def run_items(text: str, start: int, end: int) -> list[tuple[int, int, set[int]]]:
     """(start, end, kinds) of encoded runs with secrets in a maximal run of letters.
 
     Mostly the run is one. If it isn't readable as a whole, its bytes are read from each of its first four letters on, as
@@ -519,7 +527,7 @@ def run_items(text: str, start: int, end: int, most: int) -> list[tuple[int, int
         return []
     data = decoded(letters.encode())
     if len(letters) % 4 != 1 and readable(data) is not None:
-        kinds = kinds_in(data, most)
+        kinds = kinds_in(data)
         return [(start, end, kinds)] if kinds else []
 
     def place(letter: int) -> int:
@@ -538,7 +546,7 @@ def run_items(text: str, start: int, end: int, most: int) -> list[tuple[int, int
             if m.start() < behind:
                 continue
             kinds: set[int] = set()
-            unpacker = Unpacker(Stream(kinds, most), b"")
+            unpacker = Unpacker(Stream(kinds))
             unpacker.feed(data[m.start():])
             unpacker.target.close()
             if unpacker.stream.eof:
@@ -547,7 +555,7 @@ def run_items(text: str, start: int, end: int, most: int) -> list[tuple[int, int
                 stop = behind if unpacker.stream.eof else len(data)
                 items.append(found(phase + m.start() // 3 * 4, phase + -(-stop // 3) * 4, kinds))
         for m in READABLE.finditer(data):
-            kinds = kinds_in(m[0], most)
+            kinds = kinds_in(m[0])
             if not kinds:
                 continue
             first, last = phase + m.start() // 3 * 4, phase + -(-m.end() // 3) * 4
@@ -555,11 +563,11 @@ def run_items(text: str, start: int, end: int, most: int) -> list[tuple[int, int
             for s in starts[bisect.bisect_left(starts, first):]:
                 if s > first + 32:
                     break
-                if (s - phase) % 4 == 0 and (s - phase) // 4 * 3 >= m.start() and kinds_in(data[(s - phase) // 4 * 3:m.end()], most) == kinds:
+                if (s - phase) % 4 == 0 and (s - phase) // 4 * 3 >= m.start() and kinds_in(data[(s - phase) // 4 * 3:m.end()]) == kinds:
                     first = s
                     break
             for a, _ in reversed(places):
-                if first < a < min(last, len(letters)) and last - a <= 8 and kinds_in(data[(first - phase) // 4 * 3:-(-(a - phase) * 3 // 4)], most) == kinds:
+                if first < a < min(last, len(letters)) and last - a <= 8 and kinds_in(data[(first - phase) // 4 * 3:-(-(a - phase) * 3 // 4)]) == kinds:
                     last = a
                     break
             items.append(found(first, last, kinds))
@@ -573,16 +581,17 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
     is not taken up again, which ends cycles; as every decoding shortens its text, the list runs empty. What base64 and
     packed layers hold has the place of their run, whatever is inside.
     """
+    # A stream feeds the one inside it.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * DEPTH))
     base = base_spans(text)
     every = set(base)
-    most = max(UNPACK_LEAST, UNPACK_FACTOR * len(text))
-    every |= hidden(Whole(text), most)
+    every |= hidden(Whole(text))
     work = layers_in(Whole(text))
     seen = {(x.text, x.begin) for x in work}
     while work:
         layer = work.pop()
         every.update(Span(b, s.kind, e) for s in base_spans(layer.text) for b, e in [layer.span(s.start, s.end)])
-        every |= hidden(layer, most)
+        every |= hidden(layer)
         for inner in layers_in(layer):
             if (inner.text, inner.begin) not in seen and inner.text != layer.text:
                 seen.add((inner.text, inner.begin))

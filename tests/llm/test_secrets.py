@@ -1,5 +1,6 @@
 import base64
 import gzip
+import random
 import re
 import time
 import urllib.parse
@@ -126,3 +127,58 @@ def test_every_alignment_of_wrapped_lines():
         inner = base64.b64encode((NOISE + SECRET).encode()).decode()
         text = "\n".join(inner[i:i + width] for i in range(0, len(inner), width))
         assert (0, 0, len(text)) in [tuple(s)[:1] + tuple(s)[1:] for s in scan(text)[1]]
+
+
+def kinds(text):
+    return {s.kind for s in scan(text)[1]}
+
+
+@pytest.mark.parametrize("inside", [
+    lambda x: x,
+    lambda x: base64.b64encode(x),
+    lambda x: base64.b64encode(gzip.compress(x)),
+    lambda x: gzip.compress(x),
+    lambda x: urllib.parse.quote(x, safe="").encode(),
+    lambda x: "".join(f"\\u{c:04x}" for c in x).encode(),
+])
+def test_packed_layers_of_any_size_are_read(inside):
+    log = b"".join(b"line %d of a log, all is well\n" % (i % 1000) for i in range(60_000))
+    packed = base64.b64encode(gzip.compress(log + inside(SECRET.encode()) + log)).decode()
+    assert len(log) > 1 << 20 and kinds(f"a {packed} b") == {0}
+
+
+def test_inner_layer_longer_than_a_chunk():
+    pick = random.Random(5)
+    noise = bytes(pick.randrange(33, 127) for _ in range(300_000)).replace(b"=", b"!")
+    inner = base64.b64encode(gzip.compress(noise + b" \n" + SECRET.encode()))
+    wrapped = b"\n".join(inner[i:i + 76] for i in range(0, len(inner), 76))
+    for run in (inner, wrapped):
+        text = base64.b64encode(gzip.compress(b"x" * 2_000_003 + b" " + run + b" end")).decode()
+        assert [(s.start, s.kind, s.end) for s in scan(text)[1]] == [(0, 0, len(text))]
+
+
+def test_members_behind_the_first_are_read():
+    for tail in (b"", b"\0\0\0"):
+        data = gzip.compress(b"nothing here") + tail + gzip.compress(SECRET.encode())
+        assert kinds(base64.b64encode(data).decode()) == {0}
+
+
+def test_matches_over_the_cuts_of_chunks():
+    for shift in range(0, 60, 3):
+        data = b". " * ((1 << 15) - 30) + b"." * shift + b"token" + b" " * (shift * 7) + b": abcdefgh"
+        assert kinds(base64.b64encode(gzip.compress(data)).decode()) == {0}
+
+
+def test_many_streams_inside_each_other():
+    data = SECRET.encode()
+    for _ in range(300):
+        data = zlib.compress(data)
+    assert kinds(base64.b64encode(data).decode()) == {0}
+
+
+def test_url_safe_letters_late_in_a_run():
+    runs = [base64.urlsafe_b64encode(zlib.compress(SECRET.encode() + NOISE[i:].encode())).decode() for i in range(50)]
+    late = [r for r in runs if len(re.split("[-_]", r)[0]) > 16 and re.search("[-_]", r)]
+    assert late
+    for run in late:
+        assert [(s.start, s.end) for s in scan(f"x {run}")[1] if s.kind == 0] == [(2, 2 + len(run))]

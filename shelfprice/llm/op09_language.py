@@ -92,18 +92,20 @@ def mixture(buckets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Languages of a text, by falling share, and their shares.
 
     Sets grow by the language of the next largest share under all languages; the set of the best likelihood, less
-    its penalty, is the text's.
+    its penalty, is the text's. They grow until even the greatest likelihood of any shares can't pay for one more language.
     """
     counts = np.bincount(buckets, minlength=BUCKETS)
     at = np.flatnonzero(counts)
     counts, p = counts[at].astype(float), table[at]
-    all_shares, _ = proportions(p, counts, np.arange(table.shape[1]))
-    # Shares below this one can't earn their penalty.
+    all_shares, reached = proportions(p, counts, np.arange(table.shape[1]))
     order = np.argsort(-all_shares, kind="stable")
-    order = order[: max(1, int((all_shares > 0.02).sum()))]
+    # The likelihood is concave: no shares exceed these by more than their steepest direction allows.
+    limit = reached + counts.sum() * math.log(max(1.0, float(((counts / (p @ all_shares)) @ p).max()) / counts.sum()))
     price = PENALTY * 0.5 * math.log(max(2.0, counts.sum()))
     best = None
     for size in range(1, len(order) + 1):
+        if best is not None and limit - size * price <= best[0]:
+            break
         shares, likelihood = proportions(p, counts, order[:size])
         if best is None or likelihood - size * price > best[0]:
             best = (likelihood - size * price, order[:size], shares)

@@ -147,3 +147,21 @@ def test_languages_without_rows(spark, documents):
     assert model[0] == []
     assert lang.languages(empty, model).collect() == []
     assert [r.lang_pred for r in lang.languages(documents([(1, "text")]), model).collect()] == ["und"]
+
+
+def test_small_shares_of_long_texts_are_found():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    table = draw.dirichlet(np.full(lang.BUCKETS, 0.05), 4).T + 1e-9
+    table /= table.sum(0)
+
+    def text(*sizes):
+        return np.concatenate([draw.choice(lang.BUCKETS, n, p=table[:, i]) for i, n in enumerate(sizes)])
+
+    chosen, shares = lang.mixture(text(147_750, 0, 2_250, 0), table)
+    assert chosen.tolist() == [0, 2] and abs(shares[1] - 0.015) < 0.003
+    chosen, _ = lang.mixture(text(100_000, 0, 700, 300), table)
+    assert chosen.tolist() == [0, 2, 3]
+    # No language without a share earns its penalty.
+    assert lang.mixture(text(0, 5_000, 0, 0), table)[0].tolist() == [1]

@@ -98,7 +98,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, key: str = "vec_id
     """The k candidates of greatest integer inner product for each query row: query_id, rank, vec_id, score.
 
     Ties go to the smaller id. Rows with the query's own id are no candidates; an id that is a query in several rows
-    is asked with each of them, and its best rows count. Vectors meet only those of equal length. Scores are exact while
+    is asked with each of them, and its best rows count. Each row is a candidate, repeated ones as often as they stand in
+    the table, however it is cut into files. Vectors meet only those of equal length. Scores are exact while
     they stay below 2**53. Vectors with nulls or non-finite components and null ids take no part.
 
     Points and queries are packed into blocks, each pair of a query and a point block is one group of two rows, and
@@ -106,8 +107,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, key: str = "vec_id
     """
     rows = integer_vectors(vectors.withColumn("is_query", F.coalesce(is_query, F.lit(False))), key, vector, scale)
     asked = integer_vectors(vectors.filter(is_query), key, vector, scale)
-    point_blocks = stored(blocks(rows, BLOCK)).withColumn("block", F.xxhash64("dims", "ids", "data"))
-    query_blocks = stored(blocks(asked.repartition(F.floor(F.col("id") / F.lit(1 << 16))), BLOCK)).withColumn("block", F.xxhash64("dims", "ids", "data"))
+    # Numbers, not hashes, name the blocks, as blocks of repeated rows may be equal; stored, so they stay.
+    point_blocks = stored(blocks(rows, BLOCK).withColumn("block", F.monotonically_increasing_id()))
+    query_blocks = stored(blocks(asked.repartition(F.floor(F.col("id") / F.lit(1 << 16))), BLOCK).withColumn("block", F.monotonically_increasing_id()))
     # Each point block is sent to every query block of its length, and the other way round: the work asked for, in blocks.
     p_names, q_names = (b.select("dims", "block") for b in (point_blocks, query_blocks))
     pairs = p_names.withColumnRenamed("block", "p").join(q_names.withColumnRenamed("block", "q"), "dims").distinct()

@@ -42,3 +42,14 @@ def test_bounds_hold_and_spare_reads():
         order = np.lexsort((np.arange(2000)[keep], -exact[keep]))[:10]
         assert ids.tolist() == np.arange(2000)[keep][order].tolist()
         assert scores.tolist() == exact[keep][order].tolist()
+
+
+def test_repeated_rows_count_in_any_layout(spark):
+    pick = random.Random(4)
+    rows = [(i, [pick.gauss(0, 1) for _ in range(4)]) for i in range(1, 9)]
+    query = [(0, [1.0, 0.5, -0.5, 0.25])]
+    schema = "vec_id long, embedding array<double>"
+    apart = spark.createDataFrame(rows, schema).coalesce(1).union(spark.createDataFrame(rows, schema).coalesce(1)).union(spark.createDataFrame(query, schema).coalesce(1))
+    answers = [sorted(tuple(r) for r in search.top_k(df, F.col("vec_id") == 0, k=6).collect()) for df in (apart, apart.coalesce(1))]
+    scores = sorted((-sum(math.floor(64 * x) * math.floor(64 * y) for x, y in zip(query[0][1], v, strict=True)), i) for i, v in rows + rows)
+    assert answers == [[(0, rank, i, -s) for rank, (s, i) in enumerate(scores[:6], 1)]] * 2

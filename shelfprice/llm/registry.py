@@ -12,6 +12,7 @@ from shelfprice.llm.op07_search import OP7_SQL, op7_search
 from shelfprice.llm.op08_secrets import op8_secrets
 from shelfprice.llm.op09_language import op9_language
 from shelfprice.llm.op10_decontaminate import OP10_SQL, op10_decontaminate
+from shelfprice.llm.op12_quality_rules import OP12_SQL, op12_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tokens, op3_jaccard, op4_repeats, op5_bpe, op6_quality, op7_search, op8_secrets, op9_language, op10_decontaminate)}
-SQL = {"op10_decontaminate": OP10_SQL, "op3_jaccard": OP3_SQL, "op7_search": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tokens, op3_jaccard, op4_repeats, op5_bpe, op6_quality, op7_search, op8_secrets, op9_language, op10_decontaminate, op12_quality_rules)}
+SQL = {"op10_decontaminate": OP10_SQL, "op3_jaccard": OP3_SQL, "op7_search": OP7_SQL, "op12_quality_rules": OP12_SQL}

@@ -84,7 +84,7 @@ def measured(rows: DataFrame) -> DataFrame:
 
     Words are runs of other characters than ASCII white space; lines are cut at line feeds and count if they hold a word.
     Null texts measure as empty ones: all zero. Each row is measured for itself, so repeated rows have equal measures.
-    Windows are compared by 64-bit hashes within one text. Nothing is exploded, grouped or shuffled.
+    Windows are compared by 64-bit hashes within one text. Nothing is grouped or shuffled.
     """
     whole = F.coalesce("text", F.lit(""))
     words = F.array_remove(F.split(whole, WORD_BREAKS), "")
@@ -109,7 +109,9 @@ def measured(rows: DataFrame) -> DataFrame:
         "n_bullet_lines": F.size(F.filter("_lines", lambda x: x.rlike(start))),
         "n_ellipsis_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|\x{2026})[\x20\x09-\x0D]*$"))),
     }
-    return out.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_text", "_words", "_lines", "_windows", *steps)
+    measures = F.struct(*(v.cast("long").alias(k) for k, v in counts.items()))
+    # Through a one-element explode, so that later filters aren't pushed into all the steps above.
+    return out.select("row", F.explode_outer(F.array(measures)).alias("m")).select("row", "m.*")
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -124,7 +126,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     out = measured(inner).withColumns({"one": F.lit(1), "base_failed": base})
     failed = F.array_compact(F.array(*(F.when(~F.expr(holds(r)), F.lit(r.name)) for r in rules))) if rules else F.array().cast("array<string>")
     out = out.withColumns({"kept": ~F.col("base_failed") & F.expr(verdict(rules)), "failed_rules": failed})
-    made = [c for c in out.columns if c not in ("row", "text", "one")]
+    made = [c for c in out.columns if c not in ("row", "one")]
     return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in made), *made)
 
 

@@ -17,13 +17,13 @@ BLOCK, CELL_BITS, READ = 4096, 6, 64
 TOP = 20
 
 
-def integer_vectors(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(id, dims, v): floor(scale * x) of each component; leaves out null keys, null and empty vectors and those that hold nulls, NaN or infinities."""
+def integer_vectors(vectors: DataFrame, key: str, vector: str, scale: int, more: list[str] | None = None) -> DataFrame:
+    """(id, dims, v, and the columns of more): floor(scale * x) of each component; leaves out null keys, null and empty vectors and those that hold nulls, NaN or infinities."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     fit = F.col(key).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return vectors.filter(F.coalesce(fit, F.lit(False)) & (F.size(vector) > 0)).select(
         F.col(key).cast("long").alias("id"), F.size(vector).alias("dims"),
-        F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("v"),
+        F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("v"), *(more or []),
     )
 
 

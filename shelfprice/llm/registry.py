@@ -14,6 +14,7 @@ from shelfprice.llm.op09_language import op9_language
 from shelfprice.llm.op10_decontaminate import OP10_SQL, op10_decontaminate
 from shelfprice.llm.op11_lexical import OP11_SQL, op11_lexical
 from shelfprice.llm.op12_quality_rules import OP12_SQL, op12_quality_rules
+from shelfprice.llm.op13_negatives import OP13_SQL, op13_negatives
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tokens, op3_jaccard, op4_repeats, op5_bpe, op6_quality, op7_search, op8_secrets, op9_language, op10_decontaminate, op11_lexical, op12_quality_rules)}
-SQL = {"op10_decontaminate": OP10_SQL, "op11_lexical": OP11_SQL, "op3_jaccard": OP3_SQL, "op7_search": OP7_SQL, "op12_quality_rules": OP12_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tokens, op3_jaccard, op4_repeats, op5_bpe, op6_quality, op7_search, op8_secrets, op9_language, op10_decontaminate, op11_lexical, op12_quality_rules, op13_negatives)}
+SQL = {"op10_decontaminate": OP10_SQL, "op11_lexical": OP11_SQL, "op3_jaccard": OP3_SQL, "op7_search": OP7_SQL, "op12_quality_rules": OP12_SQL, "op13_negatives": OP13_SQL}

@@ -1,6 +1,9 @@
 """Bad input, ties, repeated keys and late rows."""
 
 import random
+import time
+from copy import deepcopy
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from shelfprice.plans.jobs import same_id
 from shelfprice.sources import dom
 from shelfprice.sources.html_offers import detail_pages, extract_detail_price
 from shelfprice.streaming import offers as streams
+from shelfprice.streaming import runs
+from shelfprice.streaming.best_offers import best_offers
 from shelfprice.streaming.runs import work_dir
 
 
@@ -92,10 +97,6 @@ def test_pages_by_key_meet_pages_by_number(spark):
     assert len(seen) == 40
 
 
-def _offers(first, n):
-    return [(i % 3, i, "s" + str(i % 2), "Articulo", 10.0 + i) for i in range(first, first + n)]
-
-
 def _stream(spark, folder):
     from shelfprice.schemas import OFFER_COLUMNS
 
@@ -110,15 +111,98 @@ def _stream(spark, folder):
     return stream.withColumns(filled).select("query_id", "seq", *OFFER_COLUMNS)
 
 
-def test_files_read_per_batch_stay_flat(spark):
+@pytest.fixture
+def one_partition(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+OFFER_ROWS = "query_id long, seq long, store_slug string, product_name string, price double"
+
+
+def _arrive(spark, folder, rows):
+    spark.createDataFrame(rows, OFFER_ROWS).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _size(folder):
+    return sum(p.stat().st_size for p in Path(folder).rglob("*") if p.is_file())
+
+
+def test_bytes_written_per_batch_stay_flat(spark, one_partition, monkeypatch):
+    # Fifty plans of validation and relevance would take most of the time; the state is what counts here.
+    monkeypatch.setattr(streams, "best_offer_updates", lambda stream, queries, keep_ms: best_offers(stream.join(queries, "query_id"), keep_ms))
     folder, path = work_dir(spark, "in"), work_dir(spark, "ranking")
-    for i in range(5):
-        spark.createDataFrame(_offers(i * 6, 6), "query_id long, seq long, store_slug string, product_name string, price double").coalesce(1).write.mode("append").parquet(folder)
+    # Fifty micro-batches, each with better offers for two of a growing number of queries.
+    for i in range(50):
+        _arrive(spark, folder, [(q, 1000 * i + q, f"s{k}", "Articulo", 900.0 - i) for q in (i, i + 1) for k in range(3)])
+    queries = spark.createDataFrame([(i, "articulo") for i in range(60)], "query_id long, query string")
+    ranking = streams.stream_ranking(spark, _stream(spark, folder), queries, path=path)
+    assert ranking.count() == 51 * 3 and ranking.filter("position = 1").count() == 51
+    written = [_size(f"{path}/ranking/batch_id={i}") for i in range(50)]
+    assert max(written[-10:]) <= 1.2 * max(written[:10])
+    # The state commits a change log per micro-batch, not the whole state.
+    state = Path(f"{path}/checkpoint/state/0/0")
+    changes = [(state / f"{i}.changelog").stat().st_size for i in range(2, 51) if (state / f"{i}.changelog").exists()]
+    assert len(changes) > 10 and max(changes[-10:]) <= 1.2 * max(changes[:10])
+
+
+def test_state_goes_on_in_later_runs_and_only_changes_are_written(spark, one_partition):
+    folder, path = work_dir(spark, "in"), work_dir(spark, "best")
     queries = spark.createDataFrame([(i, "articulo") for i in range(3)], "query_id long, query string")
-    streams.stream_ranking(spark, _stream(spark, folder), queries, path=path).collect()
-    files = [len(spark.read.parquet(f"{path}/current/batch_id={i}").inputFiles()) for i in range(5)]
-    rows = [spark.read.parquet(f"{path}/current/batch_id={i}").count() for i in range(5)]
-    assert max(files) <= 2 * files[0] + 1 and rows == [6] * 5
+
+    def run():
+        rows = streams.stream_best_offers(spark, _stream(spark, folder), queries, path=path)
+        return sorted((r.query_id, r.store_slug, r.seq) for r in rows.collect())
+
+    _arrive(spark, folder, [(0, 1, "a", "Articulo", 5.0), (0, 2, "b", "Articulo", 5.0), (1, 3, "a", "Articulo", 5.0)])
+    assert run() == [(0, "a", 1), (0, "b", 2), (1, "a", 3)]
+    _arrive(spark, folder, [(0, 4, "a", "Articulo", 6.0), (0, 5, "b", "Articulo", 4.0), (0, 0, "a", "Articulo", 5.0), (9, 1, "a", "Articulo", 1.0)])
+    assert run() == [(0, "a", 0), (0, "b", 5), (1, "a", 3)]
+    _arrive(spark, folder, [(0, 6, "a", "Articulo", 60.0)])
+    assert run() == [(0, "a", 0), (0, "b", 5), (1, "a", 3)]
+    batches = [spark.read.parquet(str(p)).count() for p in sorted(Path(f"{path}/log").glob("batch_id=*"))]
+    assert batches == [3, 2, 0]
+
+
+def test_stores_are_forgotten_after_their_time_to_live(spark, one_partition):
+    folder, path = work_dir(spark, "in"), work_dir(spark, "ranking")
+    queries = spark.createDataFrame([(0, "articulo")], "query_id long, query string")
+
+    def run():
+        rows = streams.stream_ranking(spark, _stream(spark, folder), queries, path=path, keep_ms=2000)
+        return sorted((r.store_slug, r.position) for r in rows.collect())
+
+    _arrive(spark, folder, [(0, 1, "a", "Articulo", 5.0)])
+    assert run() == [("a", 1)]
+    time.sleep(3)
+    _arrive(spark, folder, [(0, 2, "b", "Articulo", 6.0)])
+    assert run() == [("b", 1)]
+
+
+def test_compacted_log_reads_alike(spark):
+    path = work_dir(spark, "log")
+    schema = spark.createDataFrame([], "query_id long, store_slug string, price double").schema
+
+    def batch(n, *rows):
+        runs.write_batch(spark.createDataFrame(list(rows), schema), n, path)
+
+    def current():
+        return sorted(tuple(r) for r in runs.latest_rows(runs.read_log(spark, path, deepcopy(schema)), ["query_id", "store_slug"]).collect())
+
+    batch(0, (1, "a", 5.0), (1, "b", 5.0))
+    batch(1, (1, "a", 4.0))
+    before = current()
+    assert runs.compact_log(spark, path, deepcopy(schema), ["query_id", "store_slug"]) == 1
+    assert current() == before == [(1, "a", 4.0), (1, "b", 5.0)]
+    batch(2, (1, "a", 3.0), (2, "a", 1.0))
+    assert current() == [(1, "a", 3.0), (1, "b", 5.0), (2, "a", 1.0)]
+    assert runs.compact_log(spark, path, deepcopy(schema), ["query_id", "store_slug"]) == 2
+    rows = runs.read_log(spark, path, deepcopy(schema))
+    assert rows.count() == 3 and current() == [(1, "a", 3.0), (1, "b", 5.0), (2, "a", 1.0)]
+    # Groups: a micro-batch replaces all rows of a query.
+    assert runs.compact_log(spark, path, deepcopy(schema), ["query_id"], whole_groups=True) == 2
 
 
 def test_late_rows_are_counted(spark):

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfprice.schemas import TABLES
 
+#: Days that an append names one by one to the scan; more are read as one range.
+MOST_DAYS = 400
+
 
 def read_tables(spark: SparkSession, path: str, names: Sequence[str] = tuple(TABLES)) -> dict[str, DataFrame]:
     """The model tables, or the named ones, under a folder, with their declared schemas.
@@ -18,15 +23,58 @@ def read_tables(spark: SparkSession, path: str, names: Sequence[str] = tuple(TAB
     return {name: spark.read.schema(TABLES[name]).parquet(f"{path}/{name}") for name in names}
 
 
+def read_observations(spark: SparkSession, path: str) -> DataFrame:
+    """The stored observations with their scrape_date; no rows where nothing has been stored yet."""
+    schema = T.StructType([*TABLES["observations"].fields, T.StructField("scrape_date", T.DateType())])
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/observations")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def _identity() -> Column:
+    """What makes two observations of a day the same: the identifier, or the content of a row without one."""
+    return F.coalesce("observation_id", F.sha2(F.to_json(F.struct(*[f.name for f in TABLES["observations"]])), 256))
+
+
+def of_days(table: DataFrame, days: DataFrame) -> DataFrame:
+    """The rows of the given days (scrape_date), and those without a day; only these folders, or those between the first and the last day, are read."""
+    wanted = [r.scrape_date for r in days.distinct().limit(MOST_DAYS + 1).collect()]
+    undated = F.col("scrape_date").isNull()
+    if len(wanted) <= MOST_DAYS:
+        return table.filter(F.col("scrape_date").isin([d for d in wanted if d is not None]) | undated)
+    ends = days.agg(F.min("scrape_date").alias("low"), F.max("scrape_date").alias("high")).first()
+    return table.filter(F.col("scrape_date").between(ends.low, ends.high) | undated)
+
+
 def append_observations(rows: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
-    """Append observations in daily folders, sorted by product so that scans can skip row groups.
+    """Append the observations that the table doesn't hold yet, in daily folders, sorted by product so that scans can skip row groups.
 
-    The rebalance joins small days and splits large ones by their measured size; rows_per_file bounds a file.
+    An observation is known by its day and identifier, so a repeated run adds nothing, and one that broke off while it wrote
+    adds what is missing; rows are never rewritten and other days are not read. The days are read
+    from the rows first: store rows that are dear to compute. One writer at a time. The rebalance joins small days and splits
+    large ones by their measured size; rows_per_file bounds a file.
     """
     columns = [f.name for f in TABLES["observations"]]
+    dated = rows.select(*columns, F.to_date("scraped_at").alias("scrape_date"), _identity().alias("_identity"))
+    stored = of_days(read_observations(rows.sparkSession, path), dated.select("scrape_date"))
+    known = stored.select(F.col("scrape_date").alias("_day"), _identity().alias("_known"))
+    # Rows without a moment have no day.
+    same = F.col("_day").eqNullSafe(F.col("scrape_date")) & (F.col("_known") == F.col("_identity"))
+    fresh = dated.dropDuplicates(["scrape_date", "_identity"]).join(known, same, "left_anti").drop("_identity")
+    _write_days(fresh, f"{path}/observations", rows_per_file, "append")
+
+
+def compact_observations(spark: SparkSession, path: str, days: Sequence[str], rows_per_file: int = 5_000_000) -> None:
+    """Write the named days anew in few sorted files; other days keep theirs. Readers of these days have to wait."""
+    rows = read_observations(spark, path).filter(F.col("scrape_date").isin(*[F.lit(d).cast("date") for d in days]))
+    _write_days(rows, f"{path}/observations", rows_per_file, "overwrite")
+
+
+def _write_days(rows: DataFrame, path: str, rows_per_file: int, mode: str) -> None:
     (
-        rows.select(*columns, F.to_date("scraped_at").alias("scrape_date"))
-        .hint("rebalance", "scrape_date")
+        rows.hint("rebalance", "scrape_date")
         .sortWithinPartitions("scrape_date", "product_id", "scraped_at")
-        .write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("scrape_date").parquet(f"{path}/observations")
+        .write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file)
+        .partitionBy("scrape_date").parquet(path)
     )

@@ -11,10 +11,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _modules():
     from shelfprice.registry import (
-        contracts, extraction, history, jobs, ranking, search, streams, text, users, validation,
+        contracts, extraction, history, index, jobs, maintained, ranking, search, streams, text, users, validation,
     )
 
-    return [ranking, history, users, validation, text, search, extraction, jobs, streams, contracts]
+    return [ranking, history, users, validation, text, search, extraction, jobs, streams, contracts, maintained, index]
 
 
 def queries() -> dict[str, Query]:

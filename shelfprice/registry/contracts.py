@@ -128,20 +128,39 @@ def search_with_codes(spark, d):
 
 
 def coverage_all_stores(spark, d):
-    """Coverage of the offers of half of the stores; the others have zeros and no percentages."""
-    valid, _ = validate.validate_offers(t.offers(spark, d).filter(F.substring("store_slug", -1, 1).isin("1", "3", "5", "7", "9")))
-    return ops.coverage_report(valid, t.queries(spark, d), t.stores(spark, d))
+    """Coverage of all offers over the stores and as many new ones, which have zeros and no percentages."""
+    valid, _ = validate.validate_offers(t.offers(spark, d))
+    stores = t.stores(spark, d)
+    new = stores.withColumn("slug", F.concat(F.lit("new-"), "slug"))
+    return ops.coverage_report(valid, t.queries(spark, d), stores.unionByName(new))
+
+
+def _monthly(spark, d):
+    """Observations, moved to the first day of their month."""
+    return t.observations(spark, d).withColumn("scraped_at", F.date_trunc("month", "scraped_at"))
 
 
 def stored_observations(spark, d):
-    """Observations, moved to the first day of their month, written in daily folders, read back and pruned to a year."""
+    """Observations written in daily folders and read back."""
     path = work_dir(spark, "tables")
-    months = t.observations(spark, d).withColumn("scraped_at", F.date_trunc("month", "scraped_at"))
-    stored.append_observations(months, path)
-    rows = stored.read_tables(spark, path, ["observations"])["observations"].filter("scrape_date >= '1996-01-01' AND scrape_date < '1997-01-01'")
+    stored.append_observations(_monthly(spark, d), path)
+    rows = stored.read_tables(spark, path, ["observations"])["observations"]
     return rows.groupBy("scrape_date").agg(F.count("*").alias("n"), F.sum("price").alias("total"))
 
 
+def append_twice(spark, d):
+    """Observations appended twice, the second time with a new one for each of every fifth product: all stand there once."""
+    path = work_dir(spark, "tables")
+    rows = _monthly(spark, d)
+    stored.append_observations(rows, path)
+    new = rows.filter("product_id % 5 = 0").withColumn("observation_id", F.concat(F.lit("new-"), "observation_id"))
+    stored.append_observations(rows.unionByName(new), path)
+    held = stored.read_observations(spark, path)
+    return held.groupBy("scrape_date").agg(
+        F.count("*").alias("n"), F.countDistinct("observation_id").alias("different"), F.sum("price").alias("total")
+    )
+
+
 def html_implied_tags(spark, d):
     """Result pages as lists without end tags."""
     spec = html.PageSpec(
@@ -195,7 +214,7 @@ QUERIES = {
     for f in [
         title_quantity_extreme, detail_rejects, observation_price_rejects, partial_update_repeated, product_changes,
         insert_conflicts, register_new_rows, best_per_store_recaptured, search_with_codes, coverage_all_stores,
-        stored_observations, html_implied_tags, uncapped_offers, relevance_rules,
+        stored_observations, append_twice, html_implied_tags, uncapped_offers, relevance_rules,
     ]
 }
 
@@ -229,16 +248,42 @@ SQL = {
       SELECT query_id, store_slug, seq, 1 AS capture_id FROM relevant QUALIFY row_number() OVER
         (PARTITION BY query_id, store_slug ORDER BY pack_unit, seq) = 1""", "relevant"),
     "coverage_all_stores": with_ctes("""
-      WITH c AS (SELECT store_slug, count(DISTINCT query_id) AS q, count(*) AS v, count(package_size) AS s, count(net_weight) AS w
-        FROM offers WHERE price > 0 AND right(store_slug, 1) IN ('1', '3', '5', '7', '9') GROUP BY 1)
+      , c AS (SELECT store_slug, count(DISTINCT query_id) AS q, count(*) AS v, count(package_size) AS s, count(net_weight) AS w
+        FROM offers WHERE price > 0 GROUP BY 1),
+      every AS (SELECT slug FROM stores UNION ALL SELECT 'new-' || slug FROM stores)
       SELECT slug AS store_slug, coalesce(q, 0) AS queries_with_results, coalesce(v, 0) AS valid_results,
         coalesce(s, 0) AS with_package_size, coalesce(w, 0) AS with_net_weight, (SELECT count(*) FROM queries) AS queries,
         CAST(floor(s / v * 100 + 0.5) AS INTEGER) AS package_size_percent,
         CAST(floor(w / v * 100 + 0.5) AS INTEGER) AS net_weight_percent
-      FROM stores LEFT JOIN c ON slug = c.store_slug""".replace("WITH c AS", ", c AS", 1), "offers", "queries", "stores"),
+      FROM every LEFT JOIN c ON slug = c.store_slug""", "offers", "queries", "stores"),
     "stored_observations": with_ctes("""
       SELECT CAST(date_trunc('month', scraped_at) AS DATE) AS scrape_date, count(*) AS n, sum(price) AS total FROM observations
-      WHERE year(scraped_at) = 1996 GROUP BY 1""", "observations"),
+      GROUP BY 1""", "observations"),
+    "append_twice": with_ctes("""
+      SELECT CAST(date_trunc('month', scraped_at) AS DATE) AS scrape_date, count(*) AS n, count(*) AS different, sum(price) AS total
+      FROM (SELECT scraped_at, price FROM observations UNION ALL SELECT scraped_at, price FROM observations WHERE product_id % 5 = 0)
+      GROUP BY 1""", "observations"),
+    "search_with_codes": with_ctes("""
+      , hits AS (SELECT l_partkey AS query_id, l_extendedprice AS scans, l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS hit_id,
+          CASE WHEN l_linenumber = 1 THEN '12-3' ELSE lpad(CAST(l_orderkey AS VARCHAR), 13, '0') END AS code FROM lineitem),
+      best_hits AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY scans DESC, hit_id) <= 10),
+      codes AS (SELECT query_id, code FROM best_hits WHERE regexp_full_match(code, '[0-9]{8,14}')
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY scans DESC, hit_id) <= 5),
+      coded_offers AS (SELECT store_slug, seq, price, coalesce(subscribe_price, price) / coalesce(package_size, 1) AS pack_unit,
+          regexp_matches(lower(product_name), 'con gas|carbonatada|carbonatado|con burbujas|sparkling') AS conflict,
+          lpad(string_split(seq, '-')[1], 13, '0') AS ean
+        FROM offers WHERE price > 0 AND ean IS NOT NULL),
+      by_code AS (SELECT query_id, o.* FROM coded_offers o JOIN (SELECT DISTINCT query_id, code FROM codes) ON ean = code),
+      by_text AS (SELECT query_id, store_slug, seq, price, pack_unit, conflict,
+          CASE WHEN ean IS NOT NULL THEN lpad(string_split(seq, '-')[1], 13, '0') END AS ean FROM relevant r
+        WHERE NOT EXISTS (SELECT 1 FROM by_code c WHERE c.query_id = r.query_id AND c.store_slug = r.store_slug)),
+      found AS (SELECT query_id, store_slug, seq, price, pack_unit, conflict, ean FROM by_code UNION ALL
+        SELECT query_id, store_slug, seq, price, pack_unit, conflict, ean FROM by_text),
+      clean AS (SELECT * FROM (SELECT *, bool_or(NOT conflict) OVER (PARTITION BY query_id) AS any_clean FROM found)
+        WHERE NOT (conflict AND any_clean)),
+      firsts AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY query_id, store_slug ORDER BY pack_unit, seq) = 1)
+      SELECT query_id, store_slug, seq, ean, row_number() OVER (PARTITION BY query_id ORDER BY price, seq) AS position
+      FROM firsts""", "relevant"),
     "html_implied_tags": """
       SELECT p_partkey AS capture_id, p_name AS name, CAST(p_size AS VARCHAR) AS price FROM part
       UNION ALL SELECT p_partkey, p_brand, CAST(p_partkey AS VARCHAR) FROM part""",

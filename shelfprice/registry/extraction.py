@@ -181,8 +181,8 @@ def _relaxed(ladder, suffix):
     return run
 
 
-def relevant_pairs(spark, d):
-    """Every query of a brand and a word against every title, by shared pieces."""
+def pair_inputs(spark, d):
+    """A query of a brand and a word, and a title, for every part."""
     parts = t.table(spark, d, "part")
     queries = parts.select(
         F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_brand", "p_name").alias("query")
@@ -191,7 +191,12 @@ def relevant_pairs(spark, d):
         F.col("p_partkey").alias("name_id"),
         F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand"), F.lit(" talla "), F.col("p_size").cast("string")).alias("name"),
     )
-    return match_names(queries, names).select("query_id", "name_id")
+    return queries, names
+
+
+def relevant_pairs(spark, d):
+    """Every query of a brand and a word against every title, by shared pieces."""
+    return match_names(*pair_inputs(spark, d)).select("query_id", "name_id")
 
 
 QUERIES = {

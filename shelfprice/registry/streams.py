@@ -5,12 +5,19 @@ from pyspark.sql import functions as F
 from shelfprice.adapter import captures as cap
 from shelfprice.adapter import tables as t
 from shelfprice.adapter.oracle import with_ctes
+from shelfprice.operators import dml
+from shelfprice.operators.groups import first_per_group
 from shelfprice.schemas import CAPTURES
+from shelfprice.sources.extract import extract_offers
+from shelfprice.sources.tables import read_observations
 from shelfprice.streaming import offers as streams
 from shelfprice.streaming.runs import work_dir
+from shelfprice.streaming.scheduled import run_captures
 
 #: Files, and so micro-batches, that the events of a registered stream arrive in.
 FILES = 4
+#: Files of captures, each a run of a scheduled job.
+ARRIVALS = 2
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -106,7 +113,54 @@ def stream_captures(spark, d):
     )
 
 
+_SHOPS = ["bm", "nappy", "gadis"]
+
+
+def _arriving(spark, d):
+    """Captured payloads that arrive as files, every fifth of them spoilt, and the same ones as they should be."""
+    source = work_dir(spark, "arrivals")
+    sound = cap.json_captures(spark, d, _SHOPS).select(*[f.name for f in CAPTURES])
+    spoilt = sound.withColumn("body", F.when(F.col("capture_id") % 5 == 0, F.lit("<busy>")).otherwise(F.col("body")))
+    spoilt.repartition(ARRIVALS, "capture_id").write.parquet(source)
+    return spark.readStream.schema(CAPTURES).option("maxFilesPerTrigger", 1).parquet(source), sound
+
+
+def incremental_runs(spark, d):
+    """Two calls of a scheduled job over the arriving captures; the second finds nothing new. Runs and what they stored, per store."""
+    captures, _ = _arriving(spark, d)
+    path = work_dir(spark, "runs")
+    stores = spark.createDataFrame(list(enumerate(_SHOPS, 1)), "store_id long, slug string")
+
+    def job(batch, before, moment):
+        found, _ = extract_offers(batch)
+        cheapest = first_per_group(found, ["query_id", "store_slug"], [F.col("price").asc(), F.col("seq").asc()])
+        matches = cheapest.join(stores.withColumnRenamed("slug", "store_slug"), "store_slug").select(
+            F.col("query_id").alias("product_id"), "store_id", "price", "currency", F.col("product_url").alias("url"), "is_available",
+        )
+        return dml.observation_rows(matches, moment), None
+
+    for _ in range(2):
+        runs = run_captures(spark, captures, path, job, stores, lambda batch_id: f"2003-01-{batch_id + 1:02d} 06:00:00")
+    stored = read_observations(spark, path).groupBy("store_id").agg(F.count("*").alias("stored"), F.countDistinct("product_id").alias("products"))
+    ended = runs.groupBy("store_id", "status").agg(F.count("*").alias("runs"), F.sum("products_scraped").alias("scraped"))
+    return ended.join(stored, "store_id")
+
+
+def capture_replay(spark, d):
+    """Unread captures fed back, first those of even number with all that were read before, then half of the rest again unrepaired."""
+    captures, sound = _arriving(spark, d)
+    path = work_dir(spark, "captures")
+    streams.stream_captures(spark, captures, path)
+    streams.replay_captures(spark, path, sound.filter("capture_id % 2 = 0 OR capture_id % 5 <> 0"), 1)
+    offers, _ = streams.replay_captures(spark, path, sound.filter("capture_id % 3 = 0").withColumn("body", F.lit("[")), 2)
+    read = offers.groupBy("store_slug").agg(F.count("*").alias("n")).withColumns({"reason": F.lit("none"), "attempt": F.lit(0)})
+    dead = streams.dead_letters(spark, path).groupBy("store_slug", "reason", "attempt").agg(F.count("*").alias("n"))
+    return read.unionByName(dead)
+
+
 QUERIES = {
+    "incremental_runs": incremental_runs,
+    "capture_replay": capture_replay,
     "stream_best_offer": stream_best_offer,
     "stream_rerank": _ranking("unit"),
     "stream_rerank_total": _ranking("total"),
@@ -140,7 +194,18 @@ def _rank_sql(order: str) -> str:
         mode, unit_price, effective_price FROM priced"""
 
 
+_SHOP = "(['bm', 'nappy', 'gadis'])[CAST(p_partkey % 3 AS INTEGER) + 1]"
+
 SQL = {
+    "incremental_runs": f"""
+      SELECT list_position(['bm', 'nappy', 'gadis'], {_SHOP}) AS store_id, 'SUCCESS' AS status, {ARRIVALS} AS runs, count(*) AS scraped,
+        count(*) AS stored, count(DISTINCT p_partkey) AS products
+      FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1""",
+    "capture_replay": f"""
+      SELECT {_SHOP} AS store_slug, 2 * count(*) AS n, 'none' AS reason, 0 AS attempt FROM part
+      WHERE p_partkey % 5 <> 0 OR p_partkey % 2 = 0 GROUP BY 1
+      UNION ALL SELECT {_SHOP}, count(*), 'unreadable', CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END FROM part
+      WHERE p_partkey % 5 = 0 AND p_partkey % 2 = 1 GROUP BY ALL""",
     "stream_best_offer": f"SELECT query_id, store_slug, seq, product_name, price, package_size FROM ({_BEST})",
     "stream_rerank": _rank_sql("unit_price NULLS LAST, CASE WHEN unit_price IS NULL THEN effective_price END NULLS LAST"),
     "stream_rerank_total": _rank_sql("effective_price"),

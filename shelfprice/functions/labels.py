@@ -7,28 +7,31 @@ from pyspark.sql import functions as F
 
 # Category (lower case) and the unit its price is shown per.
 CATEGORY_UNIT = {
-    "pañales": "pañal", "toallitas": "toallita", "toallitas bebé": "toallita", "agua": "L", "agua con gas": "L",
-    "yogur": "ud.", "higiene": "ud.", "higiene personal": "ud.", "compresas": "ud.", "tampones": "ud.",
-    "papel higiénico": "ud.", "pañuelos": "ud.", "pañuelos faciales": "ud.", "limpieza": "ud.",
-    "limpieza hogar": "ud.", "higiene del hogar": "ud.", "bolsas de basura": "ud.", "papel de cocina": "ud.",
-    "leche infantil": "ml", "leche maternizada": "ml", "leche": "ml", "lácteos": "ml", "nata": "ml", "kéfir": "ml",
-    "bebidas vegetales": "ml", "bebidas": "ml", "refrescos": "ml", "bebidas carbonatadas": "ml", "zumos": "ml",
-    "zumo": "ml", "bebidas energéticas": "ml", "cerveza": "ml", "vino": "ml", "cava": "ml", "sidra": "ml",
-    "bebidas alcohólicas": "ml", "licores": "ml", "aceite": "ml", "aceite de oliva": "ml", "vinagre": "ml",
-    "salsas": "ml", "salsas y condimentos": "ml", "gel": "ml", "gel de ducha": "ml", "champú": "ml",
+    "pañales": "pañal", "toallitas": "toallita", "toallitas bebé": "toallita", "leche infantil": "ml",
+    "leche maternizada": "ml", "papillas bebé": "g", "papillas": "g",
+    "leche": "ml", "lácteos": "ml", "yogur": "ud.", "queso": "g", "mantequilla": "g", "nata": "ml", "kéfir": "ml",
+    "bebidas vegetales": "ml", "bebidas": "ml",
+    "agua": "L", "refrescos": "ml", "bebidas carbonatadas": "ml", "zumos": "ml", "zumo": "ml", "agua con gas": "L",
+    "bebidas energéticas": "ml", "cerveza": "ml", "vino": "ml", "cava": "ml", "sidra": "ml",
+    "bebidas alcohólicas": "ml", "licores": "ml", "bebidas calientes": "g", "café": "g", "infusiones": "g",
+    "aceite": "ml", "aceite de oliva": "ml", "vinagre": "ml", "salsas": "ml", "salsas y condimentos": "ml",
+    "cereales": "g", "pasta": "g", "arroz": "g", "legumbres": "g", "harina y levadura": "g", "harina": "g",
+    "azúcar": "g", "sal": "g", "frutos secos": "g", "muesli": "g", "copos de avena": "g", "galletas": "g", "pan": "g",
+    "pan de molde": "g", "tostadas": "g", "snacks": "g", "aperitivos y snacks": "g", "chocolates": "g",
+    "chocolates y dulces": "g", "helados y postres": "g",
+    "conservas": "g", "conservas de pescado": "g", "conservas vegetales": "g", "atún": "g", "sardinas": "g",
+    "carne": "g", "carne y aves": "g", "pollo": "g", "ternera": "g", "cerdo": "g", "embutidos": "g",
+    "charcutería": "g", "pescado": "g", "pescado y marisco": "g", "marisco": "g",
+    "frutas": "g", "verduras": "g", "frutas y verduras": "g", "fruta fresca": "g", "verdura fresca": "g",
+    "mermeladas": "g", "mermelada": "g", "miel": "g",
+    "higiene": "ud.", "higiene personal": "ud.", "gel": "ml", "gel de ducha": "ml", "champú": "ml",
     "acondicionador": "ml", "pasta de dientes": "ml", "desodorante": "ml", "crema": "ml", "crema corporal": "ml",
-    "crema facial": "ml", "jabón": "ml", "detergente": "ml", "detergente ropa": "ml",
-    "detergente lavavajillas": "ml", "lavavajillas": "ml", "suavizante": "ml", "lejía y desinfectantes": "ml",
-    "lejía": "ml", "limpiadores multiusos": "ml", "papillas bebé": "g", "papillas": "g", "queso": "g",
-    "mantequilla": "g", "bebidas calientes": "g", "café": "g", "infusiones": "g", "cereales": "g", "pasta": "g",
-    "arroz": "g", "legumbres": "g", "harina y levadura": "g", "harina": "g", "azúcar": "g", "sal": "g",
-    "frutos secos": "g", "muesli": "g", "copos de avena": "g", "galletas": "g", "pan": "g", "pan de molde": "g",
-    "tostadas": "g", "snacks": "g", "aperitivos y snacks": "g", "chocolates": "g", "chocolates y dulces": "g",
-    "helados y postres": "g", "conservas": "g", "conservas de pescado": "g", "conservas vegetales": "g",
-    "atún": "g", "sardinas": "g", "carne": "g", "carne y aves": "g", "pollo": "g", "ternera": "g", "cerdo": "g",
-    "embutidos": "g", "charcutería": "g", "pescado": "g", "pescado y marisco": "g", "marisco": "g", "frutas": "g",
-    "verduras": "g", "frutas y verduras": "g", "fruta fresca": "g", "verdura fresca": "g", "mermeladas": "g",
-    "mermelada": "g", "miel": "g",
+    "crema facial": "ml", "jabón": "ml", "compresas": "ud.", "tampones": "ud.", "papel higiénico": "ud.",
+    "pañuelos": "ud.", "pañuelos faciales": "ud.",
+    "limpieza": "ud.", "limpieza hogar": "ud.", "higiene del hogar": "ud.", "detergente": "ml",
+    "detergente ropa": "ml", "detergente lavavajillas": "ml", "lavavajillas": "ml", "suavizante": "ml",
+    "lejía y desinfectantes": "ml", "lejía": "ml", "limpiadores multiusos": "ml", "bolsas de basura": "ud.",
+    "papel de cocina": "ud.",
 }
 CATEGORY_UNITS = {unit: [c for c, u in CATEGORY_UNIT.items() if u == unit] for unit in dict.fromkeys(CATEGORY_UNIT.values())}
 DASH = "—"

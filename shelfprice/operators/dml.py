@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfprice.operators.groups import first_per_group
@@ -79,10 +79,11 @@ def delete_cascade(tables: dict[str, DataFrame], products: DataFrame) -> dict[st
 def settled(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
     """The first row of every key, and the rows that come after it.
 
-    Ranks all rows of a key, as the later ones are asked for too; a change feed has few rows for a key.
+    Rows that the order leaves equal are put in order by their columns, so only equal rows are left to chance. The later rows are all
+    rows less the first ones, each as often as it stands there; no key's rows come together in one task.
     """
-    ranked = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter("_turn = 1").drop("_turn"), ranked.filter("_turn > 1").drop("_turn")
+    first = first_per_group(rows, keys, [*order, *(F.col(c).asc_nulls_last() for c in rows.columns)])
+    return first, rows.exceptAll(first)
 
 
 def partial_update(

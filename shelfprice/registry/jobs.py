@@ -7,6 +7,8 @@ from shelfprice.adapter.oracle import with_ctes
 from shelfprice.operators import dml, validate
 from shelfprice.plans import jobs
 from shelfprice.registry.validation import track_requests
+from shelfprice.sources import buckets
+from shelfprice.streaming.runs import work_dir
 
 MOMENT = "2003-01-01 06:00:00"
 _NEW = ["product_id", "store_id", "price", "subscribe_price", "url", "is_available", "package_size", "net_weight", "scraped_at"]
@@ -220,10 +222,35 @@ def seed_stores(spark, d):
     return merged.select("store_id", "slug", "name", "type", "shipping_note")
 
 
+def stored_partial_update(spark, d):
+    """The alerts' changes applied to a table stored by key, read back whole."""
+    alerts, path = t.alerts(spark, d), work_dir(spark, "alerts")
+    buckets.write_buckets(alerts, path, ["alert_id"])
+
+    def change(table, changes):
+        return dml.partial_update(table, changes, "alert_id", ["target_price", "is_active"], owner="user_id")
+
+    buckets.change_buckets(spark, path, alerts.schema, ["alert_id"], _alert_changes(spark, d), change)
+    return buckets.read_buckets(spark, path, alerts.schema, ["alert_id"]).select("alert_id", "user_id", "target_price", "is_active")
+
+
+def stored_untrack(spark, d):
+    """Followers that leave, and some that come back, in a table stored by user and product."""
+    tracked, path, key = t.tracked(spark, d), work_dir(spark, "tracked"), ["user_id", "product_id"]
+    buckets.write_buckets(tracked, path, key)
+    old = tracked.filter("created_at < '1999-01-01'")
+    buckets.change_buckets(spark, path, tracked.schema, key, old.select(*key), lambda table, keys: (dml.delete_by_key(table, keys, key), None))
+    back = old.filter("user_id % 2 = 0")
+    buckets.change_buckets(
+        spark, path, tracked.schema, key, back, lambda table, rows: (dml.upsert_missing(table, rows, key, [F.col("created_at").asc()]), None)
+    )
+    return buckets.read_buckets(spark, path, tracked.schema, key)
+
+
 QUERIES = {
     f.__name__: f
     for f in [
-        discover, discover_cleanup, discovery_report, refresh, seed_daily, seed_report, rescrape, rescrape_runs,
+        stored_partial_update, stored_untrack, discover, discover_cleanup, discovery_report, refresh, seed_daily, seed_report, rescrape, rescrape_runs,
         rescrape_report, rescrape_missing,
         track_from_search, track_products, track_followers, register_by_url, cleanup_cascade, partial_update,
         partial_update_rejects, untrack, insert_products, insert_alerts, seed_stores,
@@ -271,6 +298,7 @@ _CHANGES = """SELECT alert_id, CASE WHEN product_id % 5 = 0 THEN user_id + 1 ELS
   FROM alerts"""
 
 SQL = {
+    "stored_untrack": with_ctes("SELECT * FROM tracked WHERE created_at >= TIMESTAMP '1999-01-01' OR user_id % 2 = 0", "tracked"),
     "discover": with_ctes(f"""
       SELECT query_id AS product_id, store_id, CAST(price AS DECIMAL(10,2)) AS price,
         CAST(subscribe_price AS DECIMAL(10,2)) AS subscribe_price, product_url AS url, is_available, package_size,
@@ -343,3 +371,4 @@ SQL = {
         coalesce(s.type, 'BOTH') AS type, CASE WHEN n.store_id IS NULL THEN s.shipping_note END AS shipping_note
       FROM stores s FULL JOIN stores n ON s.store_id = n.store_id + 50""", "stores"),
 }
+SQL["stored_partial_update"] = SQL["partial_update"]

@@ -10,6 +10,7 @@ from shelfprice.operators import dml, history, maintained
 from shelfprice.plans import index
 from shelfprice.plans.matching import match_texts
 from shelfprice.schemas import CAPTURES, OBSERVATIONS
+from shelfprice.sources import buckets
 from shelfprice.sources.tables import append_observations, compact_observations, of_days, read_observations
 from shelfprice.streaming import offers as streams
 from shelfprice.streaming import scheduled
@@ -177,3 +178,43 @@ def test_letters_equal_a_scan_and_read_their_folders(spark):
         assert sorted(r.id for r in index.search_text_index(spark, rows, "id", "name", needle, path).collect()) == sorted(r.id for r in scan), needle
     plan = index.search_text_index(spark, rows, "id", "name", "oliva", path)._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "folder" in plan
+
+
+def test_changes_rewrite_the_folders_of_their_keys_only(spark):
+    path, key = work_dir(spark, "alerts"), ["alert_id"]
+    table = spark.createDataFrame([(f"a{i}", i % 3, float(i)) for i in range(200)], "alert_id string, user_id long, target double")
+    buckets.write_buckets(table, path, key, 16)
+    before = _files(path)
+    changes = spark.createDataFrame([("a7", 1, 0.5), ("a9", 2, 0.5), ("zz", 1, 0.5)], "alert_id string, user_id long, target double")
+
+    def update(rows, new):
+        return dml.partial_update(rows, new, "alert_id", ["target"], owner="user_id")
+
+    rejected = buckets.change_buckets(spark, path, table.schema, key, changes, update, 16)
+    assert sorted(r.alert_id for r in rejected.collect()) == ["a9", "zz"]
+    touched = {f"bucket={r[0]}" for r in changes.select(buckets.bucket_of(key, 16)).collect()}
+    after = _files(path)
+    assert {f for f in before if not any(t + "/" in f for t in touched)} == {f for f in after if not any(t + "/" in f for t in touched)}
+    held = {r.alert_id: r.target for r in buckets.read_buckets(spark, path, table.schema, key).collect()}
+    assert held == {f"a{i}": 0.5 if i == 7 else float(i) for i in range(200)}
+    # A folder that loses all of its rows is empty afterwards, and can be filled again.
+    gone = table.filter(buckets.bucket_of(key, 16) == 3).select("alert_id")
+    assert gone.count() > 0
+    buckets.change_buckets(spark, path, table.schema, key, gone, lambda rows, keys: (dml.delete_by_key(rows, keys, key), None), 16)
+    assert buckets.read_buckets(spark, path, table.schema, key).count() == 200 - gone.count()
+    back = table.join(gone, "alert_id").select(*table.columns)
+    buckets.change_buckets(spark, path, table.schema, key, back, lambda rows, new: (dml.upsert_missing(rows, new, key, [F.col("target").asc()]), None), 16)
+    assert buckets.read_buckets(spark, path, table.schema, key).count() == 200
+
+
+def test_table_rows_are_not_shuffled_to_meet_few_changes(spark):
+    path, key = work_dir(spark, "tracked"), ["user_id"]
+    table = spark.range(5000).select(F.col("id").alias("user_id"), (F.col("id") * 2).alias("product_id"))
+    buckets.write_buckets(table, path, key)
+    few = work_dir(spark, "few")
+    spark.createDataFrame([(3,), (4,)], "user_id long").write.parquet(few)
+    keys = spark.read.parquet(few)
+    left = dml.delete_by_key(buckets.read_buckets(spark, path, table.schema, key, keys), keys, key)
+    assert left.count() > 0
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan and "PartitionFilters: [bucket" in plan

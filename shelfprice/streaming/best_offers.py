@@ -25,8 +25,11 @@ def _precedence(offer: tuple) -> tuple:
     return (conflict, unit is None, unit or 0.0, seq, price, name)
 
 
-def keep_best(names: list[str], keep_ms: int | None) -> Callable[..., Iterator[pd.DataFrame]]:
-    """The update of one query. Its state holds one array for stores, one for the moments of writing and one for each name."""
+def keep_best(fields: list[T.StructField], keep_ms: int | None) -> Callable[..., Iterator[pd.DataFrame]]:
+    """The update of one query. Its state holds one array for stores, one for the moments of writing and one for each field."""
+    names = [f.name for f in fields]
+    # pandas has NaN where Spark has null, and turns whole numbers with gaps into floats, which the state would not take.
+    kinds = [int if isinstance(f.dataType, T.IntegralType) else float if isinstance(f.dataType, T.FractionalType) else lambda x: x for f in fields]
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,8 +44,7 @@ def keep_best(names: list[str], keep_ms: int | None) -> Callable[..., Iterator[p
         changed = set()
         for frame in frames:
             for store, *values in frame[["store_slug", *names]].itertuples(index=False, name=None):
-                # pandas has NaN where Spark has null.
-                offer = tuple(None if x is None or x != x else x for x in values)
+                offer = tuple(None if x is None or x != x else kind(x) for kind, x in zip(kinds, values, strict=True))
                 if store not in known or _precedence(offer) < _precedence(known[store][1]):
                     known[store] = (moment, offer)
                     changed.add(store)
@@ -89,4 +91,4 @@ def best_offers(relevant: DataFrame, keep_ms: int | None = None) -> DataFrame:
         *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in held],
     ])
     timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return rows.groupBy("query_id").applyInPandasWithState(keep_best([f.name for f in held], keep_ms), result, state, "update", timeout)
+    return rows.groupBy("query_id").applyInPandasWithState(keep_best(held, keep_ms), result, state, "update", timeout)

@@ -103,9 +103,10 @@ def _stream(spark, folder):
     stream = spark.readStream.schema("query_id long, seq long, store_slug string, product_name string, price double").option(
         "maxFilesPerTrigger", 1
     ).parquet(folder)
+    # Every other offer has a pack size, so that the column has gaps.
     filled = {
         "store_name": F.col("store_slug"), "subscribe_price": F.lit(None).cast("double"), "currency": F.lit("EUR"), "image_url": F.lit(None).cast("string"),
-        "product_url": F.lit("https://x.example/1"), "is_available": F.lit(True), "package_size": F.lit(None).cast("int"),
+        "product_url": F.lit("https://x.example/1"), "is_available": F.lit(True), "package_size": F.when(F.col("seq") % 2 == 1, 2).cast("int"),
         "net_weight": F.lit(None).cast("double"), "net_weight_unit": F.lit(None).cast("string"), "ean": F.lit(None).cast("string"),
     }
     return stream.withColumns(filled).select("query_id", "seq", *OFFER_COLUMNS)
@@ -158,7 +159,7 @@ def test_state_goes_on_in_later_runs_and_only_changes_are_written(spark, one_par
 
     _arrive(spark, folder, [(0, 1, "a", "Articulo", 5.0), (0, 2, "b", "Articulo", 5.0), (1, 3, "a", "Articulo", 5.0)])
     assert run() == [(0, "a", 1), (0, "b", 2), (1, "a", 3)]
-    _arrive(spark, folder, [(0, 4, "a", "Articulo", 6.0), (0, 5, "b", "Articulo", 4.0), (0, 0, "a", "Articulo", 5.0), (9, 1, "a", "Articulo", 1.0)])
+    _arrive(spark, folder, [(0, 4, "a", "Articulo", 6.0), (0, 5, "b", "Articulo", 4.0), (0, 0, "a", "Articulo", 2.5), (9, 1, "a", "Articulo", 1.0)])
     assert run() == [(0, "a", 0), (0, "b", 5), (1, "a", 3)]
     _arrive(spark, folder, [(0, 6, "a", "Articulo", 60.0)])
     assert run() == [(0, "a", 0), (0, "b", 5), (1, "a", 3)]
@@ -166,6 +167,15 @@ def test_state_goes_on_in_later_runs_and_only_changes_are_written(spark, one_par
     assert batches == [3, 2, 0]
 
 
+def test_state_keeps_all_columns_of_stores_that_do_not_change(spark, one_partition):
+    folder = work_dir(spark, "in")
+    _arrive(spark, folder, [(0, 1, "a", "Articulo", 5.0), (0, 3, "b", "Articulo", 6.0), (0, 2, "c", "Articulo", 7.0)])
+    _arrive(spark, folder, [(0, 5, "b", "Articulo", 4.0)])
+    queries = spark.createDataFrame([(0, "articulo")], "query_id long, query string")
+    rows = streams.stream_ranking(spark, _stream(spark, folder), queries, path=work_dir(spark, "ranking")).collect()
+    assert sorted((r.store_slug, r.seq, r.package_size, r.unit_price, r.position) for r in rows) == [("a", 1, 2, 2.5, 2), ("b", 5, 2, 2.0, 1), ("c", 2, None, None, 3)]
+
+
 def test_stores_are_forgotten_after_their_time_to_live(spark, one_partition):
     folder, path = work_dir(spark, "in"), work_dir(spark, "ranking")
     queries = spark.createDataFrame([(0, "articulo")], "query_id long, query string")

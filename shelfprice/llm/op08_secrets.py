@@ -31,6 +31,12 @@ LEAST_VALUE = 6
 URL = re.compile(r"(?<![A-Za-z0-9_.~+/=:&-])[A-Za-z0-9_.~+/=:&-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/=:&-]*+)+")
 ESCAPES = re.compile(r"(?<![A-Za-z0-9_+/=:.-])(?:[A-Za-z0-9_+/=:.-]*+(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}))+[A-Za-z0-9_+/=:.-]*+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+# Every escape of a text: runs of percent escapes, %uXXXX, pairs of surrogates, \u{X}, \uXXXX, \UXXXXXXXX, \xXX, and the
+# escaped quotes, slashes and backslashes of texts inside texts.
+ANY_ESCAPE = re.compile(
+    r"(?P<url>(?:%[0-9A-Fa-f]{2})+)|%u(?P<wide>[0-9A-Fa-f]{4})|\\u(?P<high>[dD][89abAB][0-9A-Fa-f]{2})\\u(?P<low>[dD][c-fC-F][0-9A-Fa-f]{2})"
+    r"|\\u\{(?P<open>[0-9A-Fa-f]{1,6})\}|\\u(?P<four>[0-9A-Fa-f]{4})|\\U(?P<eight>[0-9A-Fa-f]{8})|\\x(?P<two>[0-9A-Fa-f]{2})|\\(?P<quoted>[\"'/\\])"
+)
 #: Letters of the two base64 alphabets. Their runs are maximal and apart: one may hold a piece of the other.
 ALPHABETS = ("A-Za-z0-9+/", "A-Za-z0-9_-")
 RUNS = [re.compile(x) for a in ALPHABETS for x in (rf"[{a}]{{16,}}={{0,2}}", rf"(?<![{a}])[{a}]++(?:\r?\n[ \t]*+[{a}]++)+={{0,2}}")]
@@ -84,6 +90,29 @@ class Whole(NamedTuple):
         return start, end
 
 
+class Rewritten(NamedTuple):
+    """A whole text with all of its escapes decoded. Pieces start at starts[i] and stand at sources[i] of the outer text; plain ones letter by letter."""
+
+    text: str
+    starts: list[int]
+    sources: list[tuple[int, int, bool]]
+    outer: Rewritten | Layer | Whole
+
+    @property
+    def begin(self) -> int:
+        return self.span(0, 1)[0]
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        layer = self
+        # A loop, as layers may be many.
+        while isinstance(layer, Rewritten):
+            i, j = (bisect.bisect_right(layer.starts, k) - 1 for k in (start, end - 1))
+            (first, _, plain), (second, last, plain_end) = layer.sources[i], layer.sources[j]
+            start, end = first + (start - layer.starts[i] if plain else 0), second + end - layer.starts[j] if plain_end else last
+            layer = layer.outer
+        return layer.span(start, end)
+
+
 def base_spans(text: str) -> list[Span]:
     found = []
     low = text.lower()
@@ -474,9 +503,50 @@ def url_layer(match: re.Match, outer: Layer | Whole) -> Layer | None:
     return Layer("".join(text), *outer.span(match.start(), match.end()), marks, places)
 
 
-def layers_in(outer: Layer | Whole) -> list[Layer]:
-    """The layers of percent and backslash escapes in a text."""
+def rewritten(outer: Rewritten | Layer | Whole) -> Rewritten | None:
+    """The text with every escape of either kind decoded, None without any: names and values that are only partly escaped stand together again."""
+    parts, starts, sources, size, at = [], [], [], 0, 0
+
+    def put(text: str, start: int, end: int, plain: bool) -> None:
+        nonlocal size
+        if text:
+            parts.append(text)
+            starts.append(size)
+            sources.append((start, end, plain))
+            size += len(text)
+
+    for m in ANY_ESCAPE.finditer(outer.text):
+        put(outer.text[at:m.start()], at, m.start(), True)
+        at = m.end()
+        if m["url"]:
+            data = unquote_to_bytes(m["url"])
+            chars = data.decode("utf-8", "replace")
+            if len(chars.encode()) == len(data):
+                here = m.start()
+                for c in chars:
+                    put(c, here, here + 3 * len(c.encode()), False)
+                    here += 3 * len(c.encode())
+            else:
+                put(chars, m.start(), m.end(), False)
+        elif m["high"]:
+            put(chr(0x10000 + (int(m["high"], 16) - 0xD800 << 10) + int(m["low"], 16) - 0xDC00), m.start(), m.end(), False)
+        elif m["quoted"]:
+            put(m["quoted"], m.start(), m.end(), False)
+        else:
+            code = int(m["wide"] or m["open"] or m["four"] or m["eight"] or m["two"], 16)
+            # Numbers that are no character stand as its replacement.
+            put(chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "\ufffd", m.start(), m.end(), False)
+    if not at:
+        return None
+    put(outer.text[at:], at, len(outer.text), True)
+    return Rewritten("".join(parts), starts, sources, outer)
+
+
+def layers_in(outer: Rewritten | Layer | Whole) -> list[Rewritten | Layer]:
+    """The layers of percent and backslash escapes in a text: each run of them by itself, and the whole text with all of them decoded."""
     found, text = [], outer.text
+    if ("%" in text or "\\" in text) and not isinstance(outer, Layer) and (whole := rewritten(outer)):
+        found.append(whole)
     if "%" in text:
         found += [url_layer(m, outer) for m in URL.finditer(text)]
     if "\\" in text:
@@ -484,7 +554,7 @@ def layers_in(outer: Layer | Whole) -> list[Layer]:
     return found
 
 
-def hidden(outer: Layer | Whole) -> set[Span]:
+def hidden(outer: Rewritten | Layer | Whole) -> set[Span]:
     """Secrets in the base64 runs and packed streams of a text, and in all layers inside those."""
     text, spans = outer.text, set()
 
@@ -508,6 +578,33 @@ def hidden(outer: Layer | Whole) -> set[Span]:
     return spans
 
 
+def repacked(data: bytes) -> set[int] | None:
+    """Kinds of the secrets in bytes that are UTF-16 text or a raw deflate stream as a whole; None if they are neither."""
+    for codec, zeros in (("utf-16-le", data[1::2]), ("utf-16-be", data[::2])):
+        if 2 * zeros.count(0) > len(zeros) > 0 and len(data) % 2 == 0:
+            try:
+                text = data.decode(codec).lstrip("\ufeff")
+            except UnicodeDecodeError:
+                continue
+            if readable(text.encode("utf-8", "replace")) is not None:
+                return kinds_in(text.encode())
+    if PACKED.match(data):
+        return None
+    trial = zlib.decompressobj(-15)
+    try:
+        first = trial.decompress(data, CHUNK)
+    except zlib.error:
+        return None
+    if len(first) < LEAST_RUN or readable(first.decode("utf-8", "ignore").encode()) is None or first.decode("utf-8", "replace").count("\ufffd") > 2:
+        return None
+    kinds: set[int] = set()
+    unpacker = Unpacker(Stream(kinds))
+    unpacker.stream = zlib.decompressobj(-15)
+    unpacker.feed(data)
+    unpacker.target.close()
+    return kinds if unpacker.stream.eof else None
+
+
 def run_items(text: str, start: int, end: int) -> list[tuple[int, int, set[int]]]:
     """(start, end, kinds) of encoded runs with secrets in a maximal run of letters.
 
@@ -537,13 +634,23 @@ def run_items(text: str, start: int, end: int) -> list[tuple[int, int, set[int]]
     def found(first: int, last: int, kinds: set[int]) -> tuple[int, int, set[int]]:
         return place(first), end if last >= len(letters) else place(last - 1) + 1, kinds
 
+    other = repacked(data)
+    if other is not None:
+        return [(start, end, other)] if other else []
     starts = sorted({m.end() for m in re.finditer(r"[+/_-]", letters)} | {a for a, _ in places})
-    items = []
+    items, settled = [], []
+
+    def taken(first: int, last: int) -> bool:
+        """Letters of a packed stream that was read to its end are nothing else, at no other phase."""
+        return any(first < b and a < last for a, b in settled)
+
     for phase in range(4):
+        if any(a <= 3 and b >= len(letters) - 4 for a, b in settled):
+            break
         data = decoded(letters[phase:].encode()) if phase else data
         behind = 0
         for m in PACKED.finditer(data):
-            if m.start() < behind:
+            if m.start() < behind or taken(phase + m.start() // 3 * 4, phase + -(-m.end() // 3) * 4):
                 continue
             kinds: set[int] = set()
             unpacker = Unpacker(Stream(kinds))
@@ -551,10 +658,13 @@ def run_items(text: str, start: int, end: int) -> list[tuple[int, int, set[int]]
             unpacker.target.close()
             if unpacker.stream.eof:
                 behind = m.start() + unpacker.read
+                settled.append((phase + m.start() // 3 * 4, phase + -(-behind // 3) * 4))
             if kinds:
                 stop = behind if unpacker.stream.eof else len(data)
                 items.append(found(phase + m.start() // 3 * 4, phase + -(-stop // 3) * 4, kinds))
         for m in READABLE.finditer(data):
+            if taken(phase + m.start() // 3 * 4, phase + -(-m.end() // 3) * 4):
+                continue
             kinds = kinds_in(m[0])
             if not kinds:
                 continue

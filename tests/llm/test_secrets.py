@@ -182,3 +182,59 @@ def test_url_safe_letters_late_in_a_run():
     assert late
     for run in late:
         assert [(s.start, s.end) for s in scan(f"x {run}")[1] if s.kind == 0] == [(2, 2 + len(run))]
+
+
+@pytest.mark.parametrize("text", [
+    "pass%77ord: hunter2hunter2", 'p\\x61ssword = "hunter2hunter2"', "a%20pass%77ord%20: hunter2hunter2", '{\\"password\\": \\"hunter2hunter2\\"}',
+    '{\\\\\\"password\\\\\\": \\\\\\"hunter2hunter2\\\\\\"}', "p\\u{61}ssword=hunter2hunter2", "\\U00000070assword=hunter2hunter2",
+    "%u0070assword=hunter2hunter2", "p\\\\u0061ssword=hunter2hunter2", "\\ud83d\\ude00 pass\\u0077ord=hunter2hunter2", "pass%2577ord%20=%20hunter2hunter2",
+])
+def test_partly_escaped_names_and_values(text):
+    base, spans = scan(f"before {text} behind")
+    assert base == [] and {s.kind for s in spans} == {0}
+    assert all("hunter2hunter2" in f"before {text} behind"[s.start:s.end] for s in spans)
+
+
+def test_other_packings_of_a_run():
+    plain = 'password = "hunter2hunter2" and so on'
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    for data in (plain.encode("utf-16"), plain.encode("utf-16-le"), plain.encode("utf-16-be"), raw.compress(plain.encode() * 3) + raw.flush()):
+        text = f"see {base64.b64encode(data).decode()} there"
+        assert [s.kind for s in scan(text)[1]] == [0], data
+    harmless = zlib.compressobj(9, zlib.DEFLATED, -15)
+    text = base64.b64encode(harmless.compress(b"nothing to see here " * 30) + harmless.flush()).decode()
+    assert scan(text) == ([], [])
+
+
+def test_packed_logs_hold_nothing_and_take_no_time():
+    log = "".join(f"2024-01-{i % 28:02d} worker {i % 13} finished batch {i * 37 % 1000} in {i * 7 % 90} ms\n" for i in range(1500))
+    text = f"x {base64.b64encode(gzip.compress(log.encode())).decode()} y"
+    start = time.perf_counter()
+    assert scan(text) == ([], [])
+    assert time.perf_counter() - start < 5
+
+
+def wrapped(pick, text, depth):
+    """A text wrapped in random layers, each of which encodes all of it."""
+    for _ in range(depth):
+        kind = pick.randrange(5)
+        if kind == 0:
+            text = "".join(f"%{b:02X}" for b in text.encode())
+        elif kind == 1:
+            text = "".join(f"\\u{ord(c):04x}" for c in text)
+        elif kind == 2:
+            text = base64.b64encode(text.encode()).decode()
+        elif kind == 3:
+            text = base64.urlsafe_b64encode(gzip.compress(text.encode())).decode()
+        else:
+            text = "".join(f"\\x{ord(c):02x}" for c in text)
+    return text
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_random_nestings_are_opened(seed):
+    pick = random.Random(seed)
+    inner, kind = pick.choice([("password=hunter2hunter2", 0), ("AKIA" + "Q7" * 9, 1), ("id 0123456789abcdef01234567 end", 2), ("nothing here at all", None)])
+    text = f"some words, {wrapped(pick, inner, pick.randrange(1, 4))} and more"
+    _, spans = scan(text)
+    assert ({s.kind for s in spans} >= {kind}) if kind is not None else not spans

@@ -34,7 +34,17 @@ NEGATIONS = "not no never neither nor isn't aren't wasn't don't doesn't didn't w
 REPORTS = "said says say told wrote writes called calls quoted quotes claimed claims reported reportedly allegedly sagte sagt schrieb nannte dit écrit appelle selon dijo dice escribió llamó según".split()
 INSULTS = "idiot moron stupid scum loser pathetic worthless disgusting trash clown imbecile dumb vermin filth".split()
 THREATS = "kill hurt murder destroy strangle stab shoot burn töten umbringen tuer matar".split()
+INSULT_PHRASES = [
+    "piece of trash", "piece of garbage", "waste of space", "waste of oxygen", "good for nothing", "shut up", "get lost", "drop dead", "go to hell",
+    "halt die klappe", "fahr zur hölle", "ferme la", "va en enfer", "cállate la boca", "vete al infierno",
+]
+THREAT_PHRASES = [
+    "watch your back", "you will regret", "you'll regret", "i will find you", "i'll find you", "you will pay", "you'll pay", "coming for you", "you are dead", "you're dead",
+    "ich finde dich", "du wirst bezahlen", "je te retrouverai", "tu vas payer", "te voy a encontrar", "vas a pagar",
+]
 SEED_WEIGHT = 3.0
+#: Set in a token's code, beside its symbol and the end of a clause, where a phrase may start.
+ENDING, STARTING = 8, 16
 
 STRIPPED = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'") + "«»“”„’¡¿…"
 ENDS = (".", "!", "?", ";", ":", ".\"", "!\"")
@@ -78,6 +88,23 @@ def composed(parts: list[Transducer]) -> Transducer:
     return product
 
 
+def phrases(kinds: dict[int, list[str]]) -> tuple[dict[tuple[int, str], int], dict[int, int]]:
+    """A transducer over words: arcs from state 0 along the words of each phrase, and what its last state gives out."""
+    arcs: dict[tuple[int, str], int] = {}
+    outputs: dict[int, int] = {}
+    for symbol, listed in kinds.items():
+        for phrase in listed:
+            state = 0
+            for word in phrase.split():
+                state = arcs.setdefault((state, word), len(arcs) + 1)
+            outputs[state] = symbol
+    return arcs, outputs
+
+
+#: Insults and threats of several words. What it gives out is read by the machines below, as the words of the lexicon are.
+PHRASES, PHRASE_ENDS = phrases({INSULT: INSULT_PHRASES, THREAT: THREAT_PHRASES})
+PHRASE_STARTS = {word for state, word in PHRASES if not state}
+
 #: Reads a clause from left to right (targets before, negation, reported speech), and from right to left (targets after).
 FORWARD = composed([fading(TARGET, TARGET_REACH), fading(NEGATION, NEGATION_REACH), fading(REPORT, 0)])
 BACKWARD = fading(TARGET, TARGET_REACH)
@@ -86,7 +113,10 @@ KINDS = 16
 
 
 class Grammar(dict):
-    """Code of a raw token: its symbol, plus 8 if a clause ends after it. Learned terms come before the closed classes."""
+    """Code of a raw token: its symbol, plus ENDING if a clause ends after it, plus STARTING if a phrase may start with it.
+
+    Learned terms come before the closed classes.
+    """
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
@@ -107,7 +137,7 @@ class Grammar(dict):
             self.clear()
         bare = token.strip(STRIPPED)
         symbol = INSULT if self.weight(token) > 0 else self.closed.get(bare, OTHER)
-        code = self[token] = symbol + 8 * token.endswith(ENDS)
+        code = self[token] = symbol + ENDING * token.endswith(ENDS) + STARTING * (bare in PHRASE_STARTS)
         return code
 
     def matches(self, text: str) -> np.ndarray:
@@ -116,24 +146,45 @@ class Grammar(dict):
         tokens = text.lower().split()
         codes = bytes(map(self.__getitem__, tokens))
         data = np.frombuffer(codes, np.uint8)
-        hits = np.flatnonzero((data & 7) >= INSULT)
+        hits = np.flatnonzero(((data & 7) >= INSULT) | (data >= STARTING))
         done = -1
         for hit in hits.tolist():
             if hit <= done:
                 continue
             # The clause around the hit: after the end before it, up to its own end.
             begin = hit
-            while begin and codes[begin - 1] < 8:
+            while begin and not codes[begin - 1] & ENDING:
                 begin -= 1
             end = hit
-            while end + 1 < len(codes) and codes[end] < 8:
+            while end + 1 < len(codes) and not codes[end] & ENDING:
                 end += 1
             done = end
-            symbols = [c & 7 for c in codes[begin:end + 1]]
-            self.clause(symbols, tokens[begin:end + 1], found)
+            clause = codes[begin:end + 1]
+            symbols, ended = [c & 7 for c in clause], {}
+            if max(clause) >= STARTING:
+                ended = self.ended(clause, tokens[begin:end + 1], symbols)
+            self.clause(symbols, tokens[begin:end + 1], ended, found)
         return found
 
-    def clause(self, symbols: list[int], tokens: list[str], found: np.ndarray) -> None:
+    def ended(self, codes: bytes, tokens: list[str], symbols: list[int]) -> dict[int, int]:
+        """Run the phrase transducer from each word that may start one: places where a phrase ends and what it gives out.
+
+        That stands there as a symbol, unless the word itself is an insult or a threat. Of phrases from one start the longest counts.
+        """
+        bare, out = [t.strip(STRIPPED) for t in tokens], {}
+        for first in (i for i, c in enumerate(codes) if c >= STARTING):
+            state, last = 0, None
+            for i in range(first, len(bare)):
+                state = PHRASES.get((state, bare[i]))
+                if state is None:
+                    break
+                if state in PHRASE_ENDS:
+                    last = i, PHRASE_ENDS[state]
+            if last is not None and symbols[last[0]] < INSULT:
+                symbols[last[0]] = out[last[0]] = last[1]
+        return out
+
+    def clause(self, symbols: list[int], tokens: list[str], ended: dict[int, int], found: np.ndarray) -> None:
         state, marks = FORWARD.start, []
         for symbol in symbols:
             state, mark = FORWARD.arcs[state, symbol]
@@ -143,7 +194,8 @@ class Grammar(dict):
             state, aimed = BACKWARD.arcs[state, symbols[i]]
             if symbols[i] >= INSULT:
                 kind = marks[i] | aimed
-                found[kind + 8 * (symbols[i] == THREAT)] += self.weight(tokens[i]) if symbols[i] == INSULT else 1.0
+                weight = SEED_WEIGHT if i in ended else self.weight(tokens[i])
+                found[kind + 8 * (symbols[i] == THREAT)] += weight if symbols[i] == INSULT else 1.0
 
 
 def terms(text: str) -> set[str]:

@@ -165,3 +165,92 @@ def test_small_shares_of_long_texts_are_found():
     assert chosen.tolist() == [0, 2, 3]
     # No language without a share earns its penalty.
     assert lang.mixture(text(0, 5_000, 0, 0), table)[0].tolist() == [1]
+
+
+def plain_matches(text, lexicon):
+    """Clauses, symbols and marks by looking around each word, without machines."""
+    found, clause = [0.0] * 16, []
+    closed = [(tox.THREATS, "threat"), (tox.REPORTS, "report"), (tox.NEGATIONS, "not"), (tox.TARGETS, "target")]
+    for token in [*text.lower().split(), None]:
+        if token is not None:
+            clause.append(token)
+            if not token.endswith(tox.ENDS):
+                continue
+        bare = [t.strip(tox.STRIPPED) for t in clause]
+        kinds, weights = [], []
+        for t, b in zip(clause, bare, strict=True):
+            weight = max([lexicon.get(w, tox.SEED_WEIGHT * (w in tox.INSULTS)) for w in tox.LETTERS.findall(t)], default=0)
+            kinds.append("insult" if weight else next((k for words, k in reversed(closed) if b in words), ""))
+            weights.append(weight)
+        for i in range(len(bare)):
+            ends = [(i + len(p.split()) - 1, k) for k, listed in (("insult", tox.INSULT_PHRASES), ("threat", tox.THREAT_PHRASES)) for p in listed if bare[i:i + len(p.split())] == p.split()]
+            if ends and kinds[max(ends)[0]] not in ("insult", "threat"):
+                kinds[max(ends)[0]], weights[max(ends)[0]] = max(ends)[1], tox.SEED_WEIGHT
+        for i, kind in enumerate(kinds):
+            if kind in ("insult", "threat"):
+                aimed = "target" in kinds[max(0, i - tox.TARGET_REACH):i] + kinds[i + 1:i + 1 + tox.TARGET_REACH]
+                negated, reported = "not" in kinds[max(0, i - tox.NEGATION_REACH):i], "report" in kinds[:i]
+                found[aimed + 2 * negated + 4 * reported + 8 * (kind == "threat")] += weights[i] if kind == "insult" else 1.0
+        clause = []
+    return found
+
+
+def test_toxicity_equals_plain_matching():
+    pick = random.Random(5)
+    pool = "you he not never said wrote idiot zork trash kill burn a the house get lost watch your back piece of i will find shut up say. go! to hell; fine, \"stupid\"".split()
+    grammar = tox.Grammar({"zork": 2.0})
+    for _ in range(400):
+        text = " ".join(pick.choice(pool) for _ in range(pick.randrange(1, 25)))
+        assert grammar.matches(text).tolist() == pytest.approx(plain_matches(text, {"zork": 2.0})), text
+
+
+def test_phrases_are_matched_as_wholes():
+    grammar = tox.Grammar({})
+    for text, kinds in (("Get lost, you!", {1}), ("get it lost", set()), ("She said: watch your back.", {9}), ("they said watch your back", {13}), ("don't ever shut up", {2}), ("lost", set())):
+        assert set(grammar.matches(text).nonzero()[0].tolist()) == kinds, text
+
+
+def test_mixtures_equal_a_plain_search():
+    import itertools
+    import math
+
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    table = draw.dirichlet(np.full(lang.BUCKETS, 0.05), 3).T + 1e-9
+    table /= table.sum(0)
+    for sizes in ((300, 0, 0), (200, 180, 0), (40, 0, 260), (150, 150, 150), (5, 0, 0)):
+        grams = np.concatenate([draw.choice(lang.BUCKETS, n, p=table[:, i]) for i, n in enumerate(sizes)])
+
+        def likelihood(shares):
+            return sum(math.log(sum(s * table[g, i] for i, s in shares.items())) for g in grams.tolist())
+
+        best = None
+        for size in (1, 2, 3):
+            for chosen in itertools.combinations(range(3), size):
+                shares = dict.fromkeys(chosen, 1 / size)
+                for _ in range(lang.ROUNDS if size > 1 else 0):
+                    held = {i: sum(shares[i] * table[g, i] / sum(shares[j] * table[g, j] for j in chosen) for g in grams.tolist()) for i in chosen}
+                    shares = {i: x / len(grams) for i, x in held.items()}
+                value = likelihood(shares) - size * lang.PENALTY * 0.5 * math.log(len(grams))
+                if best is None or value > best[0]:
+                    best = value, shares
+        chosen, shares = lang.mixture(grams, table)
+        assert {int(i): pytest.approx(float(s), abs=1e-6) for i, s in zip(chosen, shares)} == best[1]
+
+
+def test_quality_scores_equal_all_pairs():
+    import math
+
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    statistics = 5
+    rows = [(np.unique(draw.integers(0, 60, 30)), draw.normal(size=statistics), int(draw.random() < 0.5)) for _ in range(80)]
+    machine = qua.fit(rows, statistics)
+    for buckets, values, _ in rows[:20]:
+        at = [*buckets.tolist(), *machine.columns(values).tolist()]
+        x = [1 / math.sqrt(len(buckets))] * len(buckets) + [1.0] * statistics
+        z = machine.bias + sum(machine.linear[i] * w for i, w in zip(at, x))
+        z += sum(float(machine.factors[at[i]] @ machine.factors[at[j]]) * x[i] * x[j] for i in range(len(at)) for j in range(i))
+        assert machine.score(buckets, values) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)

@@ -111,9 +111,10 @@ def contained_items(
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text contains no item. Rows with one text share its fate."""
-    leaks = stored(contained_items(docs.select(F.lit(None).cast("long").alias("_row"), text), items, "_row", text).select("text_key").distinct())
-    marked = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return marked.join(small(leaks.withColumnRenamed("text_key", "_text_key")), "_text_key", "left_anti").select(*docs.columns)
+    leaks = stored(contained_items(docs.select(F.lit(None).cast("long").alias("row"), F.col(text).alias("body")), items, "row", "body").select("text_key").distinct())
+    # The row's columns stay together in one, so that none of them meets the key.
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
+    return marked.join(small(leaks), "text_key", "left_anti").select("row.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ def documents(spark):
     """Documents from (doc_id, text) pairs, with further columns whose names the operators use inside."""
 
     def make(pairs):
-        rows = [(i, x, "en", "s", None if x is None else len(x), "n", 1.5, 7, [1]) for i, x in pairs]
-        return spark.createDataFrame(rows, DOCS + ", node string, score double, text_key long, words array<int>")
+        rows = [(i, x, "en", "s", None if x is None else len(x), "n", 1.5, 7, [1], "k", 8, 9) for i, x in pairs]
+        return spark.createDataFrame(rows, DOCS + ", node string, score double, text_key long, words array<int>, _key string, _text_key long, row int")
 
     return make
 

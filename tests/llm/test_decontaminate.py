@@ -51,6 +51,7 @@ def test_decontaminated_and_empty_tables(spark, documents, prose):
     left = dec.decontaminated(frame, table)
     leaked = {k for k, *_ in brute(docs, items)}
     assert left.columns == frame.columns
+    assert {(r["_key"], r["_text_key"], r["row"], r["text_key"]) for r in left.collect()} == {("k", 8, 9, 7)}
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(k) for k, _ in docs if str(k) not in leaked)
     assert dec.contained_items(frame, table.limit(0)).collect() == []
     assert dec.contained_items(documents([]), table).collect() == []

@@ -102,9 +102,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], statistics: int) -> Mach
         machine.bias = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return machine
     random = np.random.default_rng(7)
-    x = np.zeros((len(rows), size), np.float32)
-    for i, (buckets, v, _) in enumerate(rows):
-        x[i, np.concatenate([buckets, machine.columns(v)])] = weights(len(buckets), statistics)
+    # A row has some hundred features of several thousand: kept as their numbers, made a dense matrix batch by batch.
+    at = [np.concatenate([buckets, machine.columns(v)]).astype(np.int32) for buckets, v, _ in rows]
+    x = np.zeros((BATCH, size), np.float32)
     share = y.mean()
     machine.bias = math.log(share / (1 - share))
     theta = np.zeros((size, RANK + 1), np.float32)
@@ -114,7 +114,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], statistics: int) -> Mach
         order = random.permutation(len(y))
         for begin in range(0, len(y), BATCH):
             part = order[begin:begin + BATCH]
-            xb = x[part]
+            xb = x[:len(part)]
+            xb[:] = 0
+            for i, row in enumerate(part.tolist()):
+                xb[i, at[row]] = weights(len(at[row]) - statistics, statistics)
             squares = xb * xb
             linear, factors = theta[:, 0], theta[:, 1:]
             sums = xb @ factors

@@ -103,7 +103,8 @@ def suffix_order(text: np.ndarray, words: np.ndarray) -> np.ndarray:
     ranks of what follows the bytes that they share, and so doubles the sorted length.
     """
     n = len(text)
-    order = np.argsort(words[:n], kind="stable")
+    # Equal ones may come in any order: they stay one group until more bytes tell them apart.
+    order = np.argsort(words[:n])
     sorted_words = words[order]
     head = np.append(True, sorted_words[1:] != sorted_words[:-1])
     group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
@@ -119,7 +120,7 @@ def suffix_order(text: np.ndarray, words: np.ndarray) -> np.ndarray:
             break
         at = order[slots]
         keys = rank[at] * (n + 1) + rank[at + depth] + 1
-        turn = np.argsort(keys, kind="stable")
+        turn = np.argsort(keys)
         at, keys = at[turn], keys[turn]
         order[slots] = at
         first = np.append(True, keys[1:] != keys[:-1])
@@ -337,4 +338,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = removed(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("repeated"),
+    )

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 #: Rows that a side of a join may have to be broadcast; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Links, of two numbers each, that one task follows; more are followed in rounds.
+TASK_LINKS = 200_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,10 +86,38 @@ def map_batches(frame: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatc
 def linked_groups(links: DataFrame) -> DataFrame:
     """Give (node, root): the smallest node that links reach, for every node that has a link.
 
-    links has long columns a and b. Each round every node takes the smallest
-    root among its own, its neighbours' and its root's root, so chains shorten by halves. Rounds are written to
-    the shared folder, and the loop ends when no root changes.
+    links has long columns a and b; it should be stored, as it is counted. At most TASK_LINKS links are followed by one task. For more, each
+    round every node takes the smallest root among its own, its neighbours' and its root's root, so chains shorten by halves; rounds are
+    written to the shared folder, and the loop ends when no root changes.
     """
+    pairs = links.select("a", "b")
+    if pairs.limit(TASK_LINKS + 1).count() <= TASK_LINKS:
+        return stored(pairs.coalesce(1).mapInArrow(followed, "node long, root long"))
+    return rounds_of_roots(pairs)
+
+
+def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the links of a task, the smaller root on top."""
+    root: dict[int, int] = {}
+
+    def top(node: int) -> int:
+        while root[node] != node:
+            root[node] = node = root[root[node]]
+        return node
+
+    for batch in batches:
+        for a, b in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            if a != b:
+                root.setdefault(a, a)
+                root.setdefault(b, b)
+                a, b = top(a), top(b)
+                root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([top(n) for n in nodes], pa.int64())], names=["node", "root"])
+
+
+def rounds_of_roots(links: DataFrame) -> DataFrame:
+    """linked_groups in rounds over the whole cluster."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stored(both.filter("a <> b").distinct())
     roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfprice.operators.history import newest_first
@@ -16,27 +16,34 @@ from shelfprice.operators.history import newest_first
 _PAIR = ["product_id", "store_id"]
 
 
+def _newest(row: Column, order: Column, which: Column) -> Column:
+    return F.max_by(F.when(which, row), F.when(which, order))
+
+
 def pair_state(observations: DataFrame) -> DataFrame:
-    """(product_id, store_id, newest, newest_available, observations): the newest row of each pair, its newest available one and the number of its rows."""
-    columns = observations.columns
+    """(product_id, store_id, newest_available, newest_other, observations): the newest available row of each pair, the newest of its others
+    and the number of its rows. No row is held twice."""
     order = F.struct("scraped_at", "observation_id")
-    row = F.struct(*columns)
-    free = F.col("is_available")
+    row = F.struct(*observations.columns)
+    free = F.coalesce("is_available", F.lit(False))
     return observations.groupBy(*_PAIR).agg(
-        F.max_by(row, order).alias("newest"), F.max_by(F.when(free, row), F.when(free, order)).alias("newest_available"),
+        _newest(row, order, free).alias("newest_available"), _newest(row, order, ~free).alias("newest_other"),
         F.count("*").alias("observations"),
     )
 
 
+def _order(side: str) -> Column:
+    return F.struct(F.col(f"{side}.scraped_at"), F.col(f"{side}.observation_id"))
+
+
 def merge_pairs(state: DataFrame, added: DataFrame) -> DataFrame:
-    """The state with the given observations added; they must not be among those it was made of."""
-    def order(side: str):
-        return F.struct(F.col(f"{side}.scraped_at"), F.col(f"{side}.observation_id"))
+    """The state with the given observations added; they must not be among those it was made of.
 
-    both = state.unionByName(pair_state(added.select(*state.schema["newest"].dataType.fieldNames())))
+    The state may be the rows of several states of different observations: a pair that stands in many of them is settled here.
+    """
+    both = state.unionByName(pair_state(added.select(*state.schema["newest_available"].dataType.fieldNames())))
     return both.groupBy(*_PAIR).agg(
-        F.max_by("newest", order("newest")).alias("newest"),
-        F.max_by("newest_available", F.when(F.col("newest_available").isNotNull(), order("newest_available"))).alias("newest_available"),
+        *[_newest(F.col(side), _order(side), F.col(side).isNotNull()).alias(side) for side in ("newest_available", "newest_other")],
         F.sum("observations").alias("observations"),
     )
 
@@ -47,14 +54,16 @@ def retract_pairs(state: DataFrame, deleted: DataFrame, left: DataFrame) -> Data
     Only pairs that lost rows are made anew, from what is left of them.
     """
     lost = deleted.select(*_PAIR).distinct()
-    names = state.schema["newest"].dataType.fieldNames()
+    names = state.schema["newest_available"].dataType.fieldNames()
     return state.join(lost, _PAIR, "left_anti").unionByName(pair_state(left.select(*names).join(lost, _PAIR, "left_semi")))
 
 
 def latest_of(state: DataFrame, available_only: bool = False) -> DataFrame:
     """latest_per_product_store of the observations that a state was made of."""
-    held = "newest_available" if available_only else "newest"
-    return state.filter(F.col(held).isNotNull()).select(f"{held}.*")
+    free, other = F.col("newest_available"), F.col("newest_other")
+    newest = F.when(other.isNull() | (free.isNotNull() & (_order("newest_available") >= _order("newest_other"))), free).otherwise(other)
+    held = state.select((free if available_only else newest).alias("held"))
+    return held.filter(F.col("held").isNotNull()).select("held.*")
 
 
 def counts_of(state: DataFrame) -> DataFrame:
@@ -69,6 +78,7 @@ def recent_state(observations: DataFrame, n: int) -> DataFrame:
 
 
 def merge_recent(state: DataFrame, added: DataFrame, n: int) -> DataFrame:
+    """The state with observations added; it may be the rows of several states."""
     return recent_state(state.drop("recency").unionByName(added.select(*state.drop("recency").columns)), n)
 
 

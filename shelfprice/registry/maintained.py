@@ -9,6 +9,8 @@ from shelfprice.streaming.runs import work_dir
 
 #: Daily deltas that the observations arrive in.
 DAYS = 10
+#: Parts of a state that a merge takes at once.
+MOST_PARTS = 16
 _LATEST = ["observation_id", "product_id", "store_id", "price", "scraped_at"]
 
 
@@ -19,13 +21,21 @@ def _deltas(spark, d):
 
 
 def _kept(spark, first, merge, deltas, name):
+    """The state after the last delta. Each day stores a part of its own, and no day reads what the days before it stored;
+    once there are MOST_PARTS, the next day merges them into one."""
     path = work_dir(spark, name)
-    state = first(deltas[0])
-    for k, delta in enumerate(deltas[1:]):
-        # Each day's state is a table, so no day computes the days before it again.
-        state.write.parquet(f"{path}/day={k}")
-        state = merge(spark.read.schema(state.schema).parquet(f"{path}/day={k}"), delta)
-    return state
+    parts = []
+    for k, delta in enumerate(deltas[:-1]):
+        full = len(parts) == MOST_PARTS
+        day = merge(_parts(spark, parts, schema), delta) if full else first(delta)
+        day.write.parquet(f"{path}/day={k}")
+        schema = day.schema
+        parts = [*([] if full else parts), f"{path}/day={k}"]
+    return merge(_parts(spark, parts, schema), deltas[-1])
+
+
+def _parts(spark, parts, schema):
+    return spark.read.schema(schema).parquet(*parts)
 
 
 def _pairs(spark, d):

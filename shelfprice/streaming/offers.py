@@ -14,6 +14,7 @@ from shelfprice.operators.groups import first_per_group
 from shelfprice.operators.validate import validate_offers
 from shelfprice.plans.search import askable
 from shelfprice.sources.extract import tagged_offers
+from shelfprice.sources.tables import spread
 from shelfprice.streaming.best_offers import best_offers
 from shelfprice.streaming.runs import (
     keyed_state, latest_groups, latest_rows, read_batches, read_log, run_available, work_dir, write_batch,
@@ -122,7 +123,7 @@ def stream_captures(
 
     def extract(batch: DataFrame, batch_id: int) -> None:
         # One tagged output, so that each payload is read once, not for offers and for rejects.
-        write_batch(tagged_offers(batch).withColumn("attempt", F.lit(1)), batch_id, f"{path}/rows")
+        write_batch(tagged_offers(spread(batch)).withColumn("attempt", F.lit(1)), batch_id, f"{path}/rows")
 
     run_available(captures.writeStream.foreachBatch(extract), f"{path}/checkpoint")
     return captured_offers(spark, path), dead_letters(spark, path).select("capture_id", "query_id", "store_slug")

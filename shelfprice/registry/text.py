@@ -8,6 +8,7 @@ from shelfprice.functions import labels, money, pricing, text, urls
 from shelfprice.functions import structured_quantity as sq
 from shelfprice.functions.quantity import legacy_package_size, with_quantity
 from shelfprice.registry.ranking import euro_sql, weight_sql
+from shelfprice.sources.tables import spread
 
 _ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -61,7 +62,7 @@ def price_text_parse(spark, d):
     """Prices written as text in the shops' notations and read back."""
     cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100.0 + 0.5)
     whole, rest = F.floor(cents / 100).cast("string"), F.lpad((cents % 100).cast("string"), 2, "0")
-    rows = t.table(spark, d, "lineitem").select(*_ID, cents.alias("cents"), whole.alias("whole"), rest.alias("rest"))
+    rows = spread(t.table(spark, d, "lineitem"), 100_000).select(*_ID, cents.alias("cents"), whole.alias("whole"), rest.alias("rest"))
     comma = F.concat("whole", F.lit(","), "rest", F.lit(" €"))
     dotted = F.concat(F.lit("PVP 1."), F.lpad(F.col("rest"), 3, "0"), F.lit(","), "rest", F.lit(" €"))
     return rows.select(

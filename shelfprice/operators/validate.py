@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +15,14 @@ Rules = dict[str, Column]
 
 
 def _split(df: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
-    """Rows that keep every rule, and the others with the names of the broken rules."""
-    broken = F.array_compact(
-        F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()])
-    )
+    """Rows that keep every rule, and the others with the names of the broken rules.
+
+    Valid rows are a plain filter, which stops at the first broken rule and whose parts move below joins; only rejects get a list.
+    """
+    kept = {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
+    broken = F.array_compact(F.array(*[F.when(~rule, F.lit(name)) for name, rule in kept.items()]))
     checked = df.withColumn("broken_rules", broken)
-    valid = checked.filter(F.size("broken_rules") == 0).drop("broken_rules")
-    return valid, checked.filter(F.size("broken_rules") > 0)
+    return df.filter(reduce(and_, kept.values())), checked.filter(F.size("broken_rules") > 0)
 
 
 def _filled(name: str) -> Column:

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfprice.adapter import captures as cap
-from shelfprice.operators import maintained
+from shelfprice.adapter import tables as given
+from shelfprice.functions import text as forms
+from shelfprice.operators import maintained, validate
 from shelfprice.registry import contracts, extraction, text
 from shelfprice.schemas import CAPTURES
 from shelfprice.sources import html_offers as html
@@ -99,3 +101,34 @@ def test_a_day_does_not_write_the_days_before_it(spark, sf_dir):
     days = [spark.read.parquet(f"{base}/{fresh}/day={k}").count() for k in range(kept.DAYS - 1)]
     whole = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert sum(days) <= whole
+
+
+def test_a_session_without_a_limit_of_its_own_gets_that_of_the_jvm(spark, sf_dir):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    try:
+        for own, wanted in [("65535", "8000"), ("20000", "20000")]:
+            spark.conf.set(name, own)
+            given.table(spark, sf_dir, "part")
+            assert spark.conf.get(name) == wanted
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_valid_rows_are_found_without_a_list_of_broken_rules(spark, capsys):
+    rows = spark.createDataFrame([("a", 9.99), ("b", 0.0), (None, None)], "alert_id string, target_price double")
+    valid, rejects = validate.validate_alerts(rows, partial=True)
+    valid.explain()
+    assert "array" not in capsys.readouterr().out
+    assert [r.alert_id for r in valid.collect()] == ["a", None]
+    assert [(r.alert_id, r.broken_rules) for r in rejects.collect()] == [("b", ["target_price"])]
+
+
+def test_titles_fold_alike_with_and_without_other_characters(spark):
+    texts = ["Agua 1,5 L", "a\tb\x0b\x0cc\r\n", "a\x1cb\x7f", "Caf\u00e9\u00a0con\u2003GAS", "\u00d1and\u00fa cafe\u0301", "", None, "\U0001f95b leche"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select(
+        "i", "x", forms.plain_spaces(F.col("x")).alias("plain"), F.translate("x", forms.SPACES, " " * len(forms.SPACES)).alias("want"),
+        forms.fold(F.col("x")).alias("folded"),
+    ).orderBy("i").collect()
+    assert [r.plain for r in rows] == [r.want for r in rows]
+    assert [r.folded for r in rows][3:] == ["cafe\u00a0con\u2003gas", "nandu cafe", "", None, "\U0001f95b leche"]

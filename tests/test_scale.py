@@ -11,7 +11,7 @@ from shelfprice.adapter import tables as given
 from shelfprice.functions import text as forms
 from shelfprice.operators import maintained, validate
 from shelfprice.registry import contracts, extraction, text
-from shelfprice.schemas import CAPTURES
+from shelfprice.schemas import CAPTURES, TABLES
 from shelfprice.sources import html_offers as html
 from shelfprice.sources import tables
 from shelfprice.streaming import offers as streams
@@ -132,3 +132,32 @@ def test_titles_fold_alike_with_and_without_other_characters(spark):
     ).orderBy("i").collect()
     assert [r.plain for r in rows] == [r.want for r in rows]
     assert [r.folded for r in rows][3:] == ["cafe\u00a0con\u2003gas", "nandu cafe", "", None, "\U0001f95b leche"]
+
+
+def _observed(spark, *rows):
+    base = {"product_id": 1, "store_id": 1, "price": 2, "scraped_at": "2024-01-01"}
+    made = spark.createDataFrame(list(rows), "observation_id string, product_id int, scraped_at string")
+    return made.select(*[
+        (F.col(f.name) if f.name in made.columns else F.lit(base.get(f.name))).cast(f.dataType).alias(f.name) for f in TABLES["observations"]
+    ])
+
+
+def test_new_observations_are_shuffled_once_to_be_told_from_stored_ones(spark, capsys):
+    path = work_dir(spark, "tables")
+    held = [("a", 1, "2024-01-01"), ("a", 1, "2024-01-02"), ("b", 1, None), (None, 2, "2024-01-01"), (None, 3, None), (None, 3, None)]
+    tables.append_observations(_observed(spark, *held), path)
+    more = _observed(spark, *held, ("c", 1, "2024-01-01"), ("c", 1, "2024-01-01"), (None, 4, "2024-01-01"), ("a", 1, None))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = tables.missing_observations(more, path)
+        fresh.explain()
+        # One for the rows, one for the stored keys.
+        assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
+        assert {(r.observation_id, r.product_id, str(r.scrape_date)) for r in fresh.collect()} == {
+            ("c", 1, "2024-01-01"), (None, 4, "2024-01-01"), ("a", 1, "None"),
+        }
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    tables.append_observations(more, path)
+    assert tables.read_observations(spark, path).count() == 8

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from copy import deepcopy
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,11 +180,14 @@ def replay_captures(spark: SparkSession, path: str, repaired: DataFrame, replay_
 def stream_alerts(
     spark: SparkSession, offers: DataFrame, alerts: DataFrame, path: str | None = None
 ) -> DataFrame:
-    """Alerts fired by arriving offers (query_id is the product): each alert with its first arrival."""
+    """Alerts fired by arriving offers (query_id is the product): each alert with its first arrival.
+
+    The waiting alerts are worked out and dealt to tasks by product once, on the executors' disks; each micro-batch brings its offers there.
+    """
     path = path or work_dir(spark, "alerts")
     waiting = alerts.filter(F.col("is_active") & F.col("triggered_at").isNull()).select(
         "alert_id", F.col("product_id").alias("query_id"), "target_price"
-    )
+    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query_id").persist(StorageLevel.DISK_ONLY)
     price = pricing.effective_price()
     fired = offers.join(waiting, "query_id").filter(price <= F.col("target_price").cast("double")).select(
         "alert_id", F.struct("seq", price.alias("price")).alias("_hit")
@@ -192,5 +196,8 @@ def stream_alerts(
     writer = updates.writeStream.outputMode("update").foreachBatch(
         lambda batch, batch_id: write_batch(batch, batch_id, f"{path}/log")
     )
-    run_available(writer, f"{path}/checkpoint")
+    try:
+        run_available(writer, f"{path}/checkpoint")
+    finally:
+        waiting.unpersist()
     return latest_rows(read_batches(spark, f"{path}/log", deepcopy(updates.schema)), ["alert_id"])

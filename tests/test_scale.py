@@ -161,3 +161,25 @@ def test_new_observations_are_shuffled_once_to_be_told_from_stored_ones(spark, c
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     tables.append_observations(more, path)
     assert tables.read_observations(spark, path).count() == 8
+
+
+def test_alerts_are_worked_out_once_for_all_micro_batches(spark):
+    source = work_dir(spark, "arrivals")
+    offers = "query_id long, seq long, price double, subscribe_price double"
+    for seq in (1, 2, 3):
+        spark.createDataFrame([(1, seq, 4.0 - seq, None)], offers).coalesce(1).write.mode("append").parquet(source)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    rows = [("x", 1, 2.0, True), ("y", 1, 9.0, True), ("z", 1, 9.0, False), ("w", 2, 9.0, True)]
+    alerts = spark.createDataFrame(rows, "alert_id string, product_id long, target_price double, is_active boolean").withColumn(
+        "target_price", F.udf(count, "double")("target_price")
+    ).withColumn("triggered_at", F.lit(None).cast("timestamp_ntz"))
+    stream = spark.readStream.schema(offers).option("maxFilesPerTrigger", 1).parquet(source)
+    fired = streams.stream_alerts(spark, stream, alerts)
+    assert {(r.alert_id, r.seq, r.price) for r in fired.collect()} == {("x", 2, 2.0), ("y", 1, 3.0)}
+    assert seen.value <= len(rows)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()

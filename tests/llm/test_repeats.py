@@ -85,3 +85,15 @@ def test_suffix_order_and_common_prefixes():
     for b, marks in zip(parts, repeated, strict=True):
         assert marks.tolist() == [count[b[p:p + 400]] > 1 for p in range(len(b) - 399)]
     assert sum(h.sum() for h in heads) == len(count)
+
+
+def test_suffixes_leave_the_rounds_when_no_window_needs_them(monkeypatch):
+    sorted_sizes = []
+    argsort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, **how: sorted_sizes.append(len(a)) or argsort(a, **how))
+    pick = random.Random(9)
+    part = "".join(pick.choice("abcdefgh ") for _ in range(401)).encode()
+    repeated, heads = rep.repeated_windows([part] * 50)
+    assert all(marks.all() for marks in repeated) and sum(h.sum() for h in heads) == 2
+    # Seven rounds of 8 to 400 bytes; at its end a fragment of 401 bytes has two windows and 400 other suffixes.
+    assert sorted_sizes == [50 * (402 - depth) for depth in (8, 16, 32, 64, 128, 256, 400)]

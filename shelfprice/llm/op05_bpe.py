@@ -18,6 +18,8 @@ from shelfprice.llm.common import map_batches, read_table
 
 #: Words whose ids a Python worker remembers before it starts anew.
 CACHE_WORDS = 200_000
+#: Bytes of text that are encoded at once: the words and the arrays of a run take many times its bytes.
+RUN_BYTES = 512 << 10
 NO_RANK = np.iinfo(np.int32).max
 
 # Fixed values of the vocabulary's pre-tokenizer: what a word is, in any script and in plain ASCII.
@@ -190,7 +192,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens long, ids binary" + ", decoded string" * decode
-    return map_batches(docs.select(key, text), each, schema)
+    return map_batches(docs.select(key, text), each, schema, RUN_BYTES)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

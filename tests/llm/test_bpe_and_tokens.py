@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +9,8 @@ from public_tokenizers import path
 from tokenizers import Tokenizer
 
 from shelfprice.llm import op02_tokens as tok
-from shelfprice.llm.common import shared_folder
+from shelfprice.llm import op05_bpe as bpe
+from shelfprice.llm.common import shared_folder, slices
 from shelfprice.llm.op05_bpe import Encoder, Vocabulary, encode_documents
 
 FILE = path("word_bpe_49k.json")
@@ -93,3 +95,14 @@ def test_digests(spark, documents, tmp_path, library):
     ids = library.encode("Hello world", add_special_tokens=False).ids
     assert rows[1].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert rows[2].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_runs_that_are_encoded_at_once_are_short(documents, monkeypatch):
+    asked = []
+    monkeypatch.setattr(bpe, "map_batches", lambda frame, each, schema, *size: asked.append(size) or frame)
+    encode_documents(documents([(1, "a")]), path("word_bpe_49k.json"))
+    texts = ["word " * 20_000, None, "", *["x" * 1000] * 900, "y" * 700_000, "z"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    runs = list(slices(batch, *asked[0]))
+    assert [x for run in runs for x in run.column(1).to_pylist()] == texts
+    assert all(run.num_rows == 1 or sum(len(x or "") for x in run.column(1).to_pylist()) <= 512 << 10 for run in runs)

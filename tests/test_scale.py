@@ -63,6 +63,13 @@ def test_pages_are_not_broadcast_by_a_guess(spark, one_file, capsys):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_pages_are_read_once_for_both_rules(spark, one_file, capsys):
+    rows = contracts.uncapped_offers(spark, one_file)
+    rows.explain()
+    assert "MapIn" not in capsys.readouterr().out
+    assert {(r.rule, r.n): r["count"] for r in rows.groupBy("rule", "n").count().collect()} == {("capped", 5): ROWS, ("all", 16): ROWS}
+
+
 def test_a_batch_of_captures_is_dealt_out(spark):
     path, source = work_dir(spark, "captures"), work_dir(spark, "arrivals")
     rows = spark.range(ROWS).select(F.col("id").alias("capture_id"), F.lit("bm").alias("store_slug"), F.lit("<busy>").alias("body"))

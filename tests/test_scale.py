@@ -170,6 +170,31 @@ def test_new_observations_are_shuffled_once_to_be_told_from_stored_ones(spark, c
     assert tables.read_observations(spark, path).count() == 8
 
 
+def test_days_that_hold_nothing_get_their_rows_by_one_shuffle(spark, monkeypatch, capsys):
+    monkeypatch.setattr(tables, "ROWS_PER_PIECE", 2)
+    rows = [("a", 1, "2024-01-01"), ("a", 1, "2024-01-01"), ("a", 1, "2024-01-02"), ("b", 1, None), ("b", 2, None), (None, 2, "2024-01-01"), (None, 2, "2024-01-01"), (None, 3, "2024-01-01")]
+    rows += [(f"c{i}", i, "2024-01-03") for i in range(20)] * 2
+    written = []
+    write = tables._write_dealt
+    monkeypatch.setattr(tables, "_write_dealt", lambda fresh, *rest: (written.append(fresh), write(fresh, *rest)))
+    path = work_dir(spark, "tables")
+    tables.append_observations(_observed(spark, *rows), path)
+    written[0].explain()
+    assert capsys.readouterr().out.count("Exchange ") == 1
+    held = sorted((r.observation_id or "", r.product_id, str(r.scrape_date)) for r in tables.read_observations(spark, path).collect())
+    once = [("", 2, "2024-01-01"), ("", 3, "2024-01-01"), ("a", 1, "2024-01-01"), ("a", 1, "2024-01-02"), *[(f"c{i}", i, "2024-01-03") for i in range(20)]]
+    # Of two rows without a day and with one identifier, one stays.
+    assert [r for r in held if r[2] != "None"] == sorted(once) and [r[0] for r in held if r[2] == "None"] == ["b"]
+    for _ in range(2):
+        tables.append_observations(_observed(spark, *rows, ("d", 1, "2024-01-04")), path)
+        assert tables.read_observations(spark, path).count() == len(held) + 1
+    # More days than are named one by one.
+    monkeypatch.setattr(tables, "MOST_DAYS", 1)
+    other = work_dir(spark, "tables")
+    tables.append_observations(_observed(spark, *rows), other)
+    assert tables.read_observations(spark, other).count() == len(held)
+
+
 def test_alerts_are_worked_out_once_for_all_micro_batches(spark):
     source = work_dir(spark, "arrivals")
     offers = "query_id long, seq long, price double, subscribe_price double"

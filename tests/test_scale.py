@@ -10,6 +10,7 @@ from shelfprice.adapter import captures as cap
 from shelfprice.adapter import tables as given
 from shelfprice.functions import text as forms
 from shelfprice.operators import maintained, validate
+from shelfprice.plans import matching
 from shelfprice.registry import contracts, extraction, text
 from shelfprice.schemas import CAPTURES, TABLES
 from shelfprice.sources import html_offers as html
@@ -195,6 +196,33 @@ def test_days_that_hold_nothing_get_their_rows_by_one_shuffle(spark, monkeypatch
     assert tables.read_observations(spark, other).count() == len(held)
 
 
+def test_rows_of_equal_texts_meet_in_the_last_step(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 2)
+    queries = spark.createDataFrame(
+        [(i, "Leche") for i in (1, 2, 2, 3, None)] + [(7, "leche"), (8, "agua"), (9, None), (10, ""), (11, "zz")], "query_id long, query string"
+    )
+    names = spark.createDataFrame(
+        [(i, "Leche entera 1 L") for i in (1, 2, 3, 3, 4, None, None)] + [(5, "Agua"), (6, None), (7, ""), (8, "pan")], "name_id long, name string"
+    )
+    got = matching.match_names(queries, names)
+    texts = matching.match_texts(queries, names)
+    asked_by = queries.withColumn("asked", forms.search_text(F.col("query")))
+    want = texts.join(names, "name").join(asked_by, "asked").select("query_id", "query", "name_id", "name")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.filter("query = 'Leche' AND name = 'Leche entera 1 L'").count() == 35 and got.columns == want.columns
+    plan = matching.match_names(queries, names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode(_") == 2 and plan.rindex("Generate explode(_") < plan.index("Exchange")
+
+
+def test_terms_are_told_once_per_query_text(spark):
+    queries = spark.createDataFrame([(1, "leche entera")], "query_id long, query string")
+    asked = matching.asked_queries(queries).select(F.explode("pieces").alias("piece"))
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    # Nothing but the plain query stands below the first distinct step.
+    below = plan[plan.rindex("Aggregate [query"):].splitlines()[1:]
+    assert not any("regexp" in line or "translate" in line or "Filter" in line for line in below), plan
+
+
 def test_alerts_are_worked_out_once_for_all_micro_batches(spark):
     source = work_dir(spark, "arrivals")
     offers = "query_id long, seq long, price double, subscribe_price double"
